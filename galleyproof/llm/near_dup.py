@@ -1,7 +1,7 @@
 """MinHash near-duplicate detection with odd sketches.
 
 Documents are sets of distinct 5-word shingles. Each distinct text gets 288 MinHash
-samples, which are used twice: 48 bands of 6 samples propose candidates, and a 512-bit
+samples, which are used twice: 48 bands of 6 samples propose candidates, and a 1024-bit
 odd sketch (each sample flips one bit) lets the population count of an XOR estimate how
 many samples differ, so that most false candidates fall before any text is moved. What
 remains is confirmed on the full shingle sets.
@@ -33,11 +33,11 @@ from galleyproof.llm.graph import components
 from galleyproof.llm.words import shingles, split_words
 from galleyproof.session import map_arrow
 
-BANDS, ROWS, SKETCH_BITS = 48, 6, 512
-#: Estimates below the threshold by this much or more are not confirmed: over four standard deviations.
-SKETCH_SLACK = 0.16
+BANDS, ROWS, SKETCH_BITS = 48, 6, 1024
+#: Estimates below the threshold by more than this are not confirmed: 3.5 standard deviations.
+SKETCH_SLACK = 0.12
 #: Bands with more members than this are refined before their members are paired.
-LARGE_BAND = 64
+LARGE_BAND = 2000
 
 _SIGNATURE = "doc_id long, digest binary, n_shingles long, bands array<long>, sketch array<long>"
 
@@ -165,13 +165,16 @@ def _pairs_in_bands(members: DataFrame, bands: DataFrame, threshold: float, refi
             break
         other = bands.select(F.col("doc_id").alias("node"), F.explode("bands").alias("other"))
         members = large.join(other, "node").where("key <> other").select(F.xxhash64("key", "other").alias("key"), "node", "component")
+    own = [F.col("doc_id").alias("node"), "n_shingles", "sketch"]
     pairs = None
     for part in parts:
-        full = part.join(bands.select(F.col("doc_id").alias("node"), "n_shingles", "sketch"), "node")
-        a, b = (full.select("key", F.col("node").alias(x), F.col("component").alias(f"c_{x}"), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}")) for x, s in (("u", "a"), ("v", "b")))
-        found = a.join(b, "key").where((F.col("u") < F.col("v")) & (F.col("c_u") != F.col("c_v")) & _plausible(threshold)).select("u", "v").distinct()
-        pairs = found if pairs is None else pairs.unionAll(found).distinct()
-    return pairs
+        live = part.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("live"))  # at most one key a band
+        full = part.join(live.join(bands.select(*own), "node"), "node")
+        a, b = (full.select("key", F.col("node").alias(x), F.col("component").alias(f"c_{x}"), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"), F.col("live").alias(f"live_{s}")) for x, s in (("u", "a"), ("v", "b")))
+        once = F.col("key") == F.element_at(F.array_intersect("live_a", "live_b"), 1)  # a pair counts in its first common band only
+        found = a.join(b, "key").where((F.col("u") < F.col("v")) & (F.col("c_u") != F.col("c_v")) & _plausible(threshold) & once).select("u", "v")
+        pairs = found if pairs is None else pairs.unionAll(found)
+    return pairs.distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
