@@ -3,8 +3,9 @@
 Documents are sets of distinct 5-word shingles. Each distinct text gets 288 MinHash
 samples, which are used twice: 48 bands of 6 samples propose candidates, and a 1024-bit
 odd sketch (each sample flips one bit) lets the population count of an XOR estimate how
-many samples differ, so that most false candidates fall before any text is moved. What
-remains is confirmed on the full shingle sets.
+many samples differ, so that most false candidates fall before any text is moved. A parity
+bitmap of the set itself, whose differing bits are at most the differing elements, then
+rejects most of the rest without loss. What remains is confirmed on the full shingle sets.
 
 Candidates are not all pairs of a band. First every member of a band is held against the
 smallest member; after the links found so are closed to components, only members of
@@ -33,13 +34,13 @@ from galleyproof.llm.graph import components
 from galleyproof.llm.words import shingles, split_words
 from galleyproof.session import map_arrow
 
-BANDS, ROWS, SKETCH_BITS = 48, 6, 1024
+BANDS, ROWS, SKETCH_BITS, PARITY_BITS = 48, 6, 1024, 2048
 #: Estimates below the threshold by more than this are not confirmed: 3.5 standard deviations.
 SKETCH_SLACK = 0.12
 #: Bands with more members than this are refined before their members are paired.
 LARGE_BAND = 2000
 
-_SIGNATURE = "doc_id long, digest binary, n_shingles long, bands array<long>, sketch array<long>"
+_SIGNATURE = "doc_id long, digest binary, n_shingles long, bands array<long>, sketch array<long>, parity array<long>"
 
 
 def minhash(values: np.ndarray, bounds: np.ndarray, samples: int) -> np.ndarray:
@@ -68,6 +69,17 @@ def odd_sketch(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     return np.packbits(odd.reshape(n, bits), axis=1, bitorder="little").view(np.int64)
 
 
+def set_parity(values: np.ndarray, bounds: np.ndarray, bits: int = PARITY_BITS) -> np.ndarray:
+    """Parity bitmaps of the non-empty sets themselves; the bits in which two differ are never
+    more than the elements in which the sets differ."""
+    sizes = np.diff(bounds)
+    rank = np.cumsum(sizes > 0) - 1
+    n = int((sizes > 0).sum())
+    flat = np.repeat(rank, sizes) * bits + (values % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(flat, minlength=n * bits).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n, bits), axis=1, bitorder="little").view(np.int64)
+
+
 def band_keys(samples: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """One 64-bit key for each band of each row of samples."""
     parts = samples.reshape(len(samples), bands, rows).astype(np.uint64)
@@ -86,8 +98,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         samples = minhash(values, bounds, BANDS * ROWS)
         digests = [hashlib.blake2b(words.hash[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [ids.cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), _lists(band_keys(samples), full), _lists(odd_sketch(samples), full)],
-            ["doc_id", "digest", "n_shingles", "bands", "sketch"],
+            [ids.cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), _lists(band_keys(samples), full), _lists(odd_sketch(samples), full), _lists(set_parity(values, bounds), full)],
+            ["doc_id", "digest", "n_shingles", "bands", "sketch", "parity"],
         )
 
 
@@ -98,21 +110,34 @@ def _lists(rows: np.ndarray, full: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest of the word sequence, n_shingles, bands, sketch) of each document."""
+    """(doc_id, digest of the word sequence, n_shingles, bands, sketch, parity) of each document."""
     return map_arrow(docs.where("doc_id is not null").select("doc_id", "text"), _sign, _SIGNATURE)
 
 
+def _differing_bits(a: str, b: str, bits: int) -> F.Column:
+    return reduce(lambda x, y: x + y, (F.bit_count(F.expr(f"{a}[{i}] ^ {b}[{i}]")) for i in range(bits // 64)))
+
+
 def sketch_similarity(a: str, b: str) -> F.Column:
     """The Jaccard similarity estimated from two odd sketches (columns of 64-bit words)."""
-    words = SKETCH_BITS // 64
-    odd = reduce(lambda x, y: x + y, (F.bit_count(F.expr(f"{a}[{i}] ^ {b}[{i}]")) for i in range(words)))
-    filled = F.least(2.0 * odd / SKETCH_BITS, F.lit(0.999))
+    filled = F.least(2.0 * _differing_bits(a, b, SKETCH_BITS) / SKETCH_BITS, F.lit(0.999))
     return 1 + F.lit(SKETCH_BITS / (4.0 * BANDS * ROWS)) * F.log(1 - filled)
 
 
 def _plausible(threshold: float) -> F.Column:
+    """What linked pairs satisfy: by their sizes and set parities always, by the odd sketch but for its slack."""
+    percent = round(100 * threshold)
     least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    return (100 * least >= round(100 * threshold) * most) & (sketch_similarity("sketch_a", "sketch_b") >= threshold - SKETCH_SLACK)
+    apart = _differing_bits("parity_a", "parity_b", PARITY_BITS)
+    return (100 * least >= percent * most) & ((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))) & (sketch_similarity("sketch_a", "sketch_b") >= threshold - SKETCH_SLACK)
+
+
+_OWN = ("n_shingles", "sketch", "parity")
+
+
+def _side(nodes: DataFrame, node: str, side: str) -> DataFrame:
+    """``nodes`` with their columns named for one side of a pair."""
+    return nodes.select(F.col("node").alias(node), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"), F.col("parity").alias(f"parity_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("component", "live") if c in nodes.columns), *(["key"] if "key" in nodes.columns else []))
 
 
 def _confirmer(percent: int):
@@ -165,14 +190,12 @@ def _pairs_in_bands(members: DataFrame, bands: DataFrame, threshold: float, refi
             break
         other = bands.select(F.col("doc_id").alias("node"), F.explode("bands").alias("other"))
         members = large.join(other, "node").where("key <> other").select(F.xxhash64("key", "other").alias("key"), "node", "component")
-    own = [F.col("doc_id").alias("node"), "n_shingles", "sketch"]
     pairs = None
     for part in parts:
-        live = part.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("live"))  # at most one key a band
-        full = part.join(live.join(bands.select(*own), "node"), "node")
-        a, b = (full.select("key", F.col("node").alias(x), F.col("component").alias(f"c_{x}"), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"), F.col("live").alias(f"live_{s}")) for x, s in (("u", "a"), ("v", "b")))
+        live = part.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("live"))  # a key for each of its bands
+        full = part.join(live.join(bands.select(F.col("doc_id").alias("node"), *_OWN), "node"), "node")
         once = F.col("key") == F.element_at(F.array_intersect("live_a", "live_b"), 1)  # a pair counts in its first common band only
-        found = a.join(b, "key").where((F.col("u") < F.col("v")) & (F.col("c_u") != F.col("c_v")) & _plausible(threshold) & once).select("u", "v")
+        found = _side(full, "u", "a").join(_side(full, "v", "b"), "key").where((F.col("u") < F.col("v")) & (F.col("component_a") != F.col("component_b")) & _plausible(threshold) & once).select("u", "v")
         pairs = found if pairs is None else pairs.unionAll(found)
     return pairs.distinct()
 
@@ -186,13 +209,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """
     signed = materialise(signatures(docs), "signatures")
     groups = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    nodes = materialise(signed.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "bands", "sketch"), "nodes")
+    nodes = materialise(signed.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "bands", *_OWN), "nodes")
     keys = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
     members = materialise(keys.join(shared.select("key", "first"), "key").select("key", "node", "first"), "members")
-    sides = [nodes.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}")) for x, s in (("u", "a"), ("v", "b"))]
+    named = nodes.select(F.col("doc_id").alias("node"), *_OWN)
     stars = members.where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
-    stars = materialise(stars.join(sides[1], "v").join(sides[0], "u").where(_plausible(threshold)).select("u", "v"), "stars")
+    stars = materialise(stars.join(_side(named, "v", "b"), "v").join(_side(named, "u", "a"), "u").where(_plausible(threshold)).select("u", "v"), "stars")
     links = _confirmed(stars, docs, threshold)
     found = materialise(components(links), "components")
     placed = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
