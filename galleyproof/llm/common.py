@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a Python task, so that memory stays bounded.
 CHUNK_BYTES = 2_000_000
@@ -47,6 +48,18 @@ def drop_scratch(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, parts: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``groups``, which has one row for each key and the group's ``size``.
+
+    Groups that hold a ``parts``-th of all rows or more, of which there are ``parts`` at
+    most, are broadcast, so that the rows of a hot key stay where they are.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) * parts >= total
+    few = F.broadcast(groups.where(hot))
+    return rows.join(few, keys).unionByName(rows.join(few.select(*keys), keys, "left_anti").join(groups.where(~hot), keys))
+
+
 def text_chunks(
     batches: Iterator[pa.RecordBatch], ids: str = "doc_id", text: str = "text", limit: int = CHUNK_BYTES
 ) -> Iterator[tuple[pa.Array, list[bytes]]]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galleyproof.llm.common import drop_scratch, materialise, mix64, numbers, text_chunks
+from galleyproof.llm.common import drop_scratch, join_groups, materialise, mix64, numbers, text_chunks
 from galleyproof.llm.graph import components
 from galleyproof.llm.words import shingles, split_words
 from galleyproof.session import map_arrow
@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     included, and ``kept`` marks the documents that have their own.
     """
     signed = materialise(signatures(docs), "signatures")
-    groups = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
+    groups = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     nodes = materialise(signed.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "bands", *_OWN), "nodes")
     keys = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -225,10 +225,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
         more = _confirmed(rest, docs, threshold)
         if not more.isEmpty():
             found = materialise(components(links.unionAll(more)), "components")
-    classes = groups.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    return (
-        signed.select("doc_id", "digest", "n_shingles")
-        .join(classes, "digest", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    )
+    classes = materialise(groups.join(found, "node", "left").select("digest", "copies", F.coalesce("component", "node").alias("component_id")), "classes")
+    columns = ("doc_id", "n_shingles", "component_id")
+    placed = join_groups(signed.where("digest is not null").select("doc_id", "digest", "n_shingles"), classes, ["digest"], "copies").select(*columns)
+    alone = signed.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return placed.unionAll(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))

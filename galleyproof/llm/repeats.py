@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from galleyproof.llm.common import materialise, text_chunks
+from galleyproof.llm.common import join_groups, materialise, text_chunks
 from galleyproof.session import map_arrow
 
 _UNIT = re.compile(r"[^\s.!?][^.!?\n]*[.!?]*")
@@ -63,9 +63,9 @@ def repeated_spans(docs: DataFrame, min_words: int = 20) -> DataFrame:
     first_doc_id: the smallest document that holds the first unit of the span.
     """
     found = materialise(map_arrow(docs.where("doc_id is not null").select("doc_id", "text"), _hash_units, _UNITS), "units")
-    groups = found.where("not again").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
+    groups = materialise(found.where("not again").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "repeated")
     place = ["doc_id", "unit", "start", "end", "words"]
-    elsewhere = found.join(groups, ["h1", "h2"]).where("doc_id <> first").select(*place, "first")
+    elsewhere = join_groups(found, groups, ["h1", "h2"], "n").where("doc_id <> first").select(*place, "first")
     within = found.where("again").select(*place, F.col("doc_id").alias("first"))
     later = elsewhere.unionAll(within).groupBy("doc_id", "unit").agg(F.min("start").alias("start"), F.min("end").alias("end"), F.min("words").alias("words"), F.min("first").alias("first"))
     island = F.col("unit") - F.row_number().over(Window.partitionBy("doc_id").orderBy("unit"))

@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galleyproof.llm.common import scratch_path, text_chunks
+from galleyproof.llm.common import join_groups, materialise, scratch_path, text_chunks
 from galleyproof.session import map_arrow
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
@@ -100,9 +100,7 @@ def token_counts(docs: DataFrame, cache_path: str | None = None, tokenizer: str
     wanted = keyed if known is None or known.isEmpty() else keyed.join(known, "digest", "left_anti")
     misses = wanted.groupBy("digest").agg(F.first("text").alias("text"))
     map_arrow(misses, _counter(path, version), _CACHE).write.mode("append").parquet(cache_path)
-    counts = cached_counts(spark, cache_path, version)
-    return (
-        keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-        .join(counts, "digest")
-        .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-    )
+    rows = materialise(keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "digests")
+    copies = rows.groupBy("digest").agg(F.count("*").alias("copies"))
+    counts = materialise(copies.join(cached_counts(spark, cache_path, version), "digest"), "counts")
+    return join_groups(rows, counts, ["digest"], "copies").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
