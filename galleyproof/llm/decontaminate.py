@@ -11,7 +11,8 @@ the window, with Myers' bit-parallel algorithm.
 
 Only windows that could match are embedded: e edits destroy at most 3 e of an item's word
 triples, so a window with fewer of the items' triples than that leaves is passed over.
-This loses nothing. A document is read once, whole; only the items are sent to the tasks,
+This loses nothing, and around a window that agrees, passages up to half an item away are
+confirmed with it. A document is read once, whole; only the items are sent to the tasks,
 in blocks of at most ``ITEMS_PER_BLOCK``.
 
 Items of fewer than three words, or null, match nothing, and so do null and empty texts.
@@ -98,7 +99,9 @@ class Items:
     ids: list[int]
     words: list[list[int]]
     edits: list[int]
-    seen: np.ndarray  #: by the lower bits of a triple's hash: whether an item has it
+    seen: np.ndarray  #: by the lower bits of a triple's hash: whether an item may have it
+    triples: np.ndarray  #: sorted hashes of the items' triples, one for each size of items that have it
+    triple_size: np.ndarray  #: that size
     sizes: list[tuple[int, int]]  #: (words of an item, triples of the items that its match keeps)
     keys: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]  #: (size, repeat): sorted keys, items
 
@@ -116,6 +119,8 @@ class Items:
         seen = np.zeros(1 << bits, bool)
         seen[(hashes & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
         sizes = sorted({(len(w), len(w) - 2 - 3 * e) for w, e in zip(words, edits, strict=True)})
+        of_size = np.repeat([len(w) for w in words], [len(w) - 2 for w in words]) if words else np.zeros(0, np.int64)
+        pairs = np.unique(np.rec.fromarrays([hashes, of_size], names="hash,size"))
         keys = {}
         for size, _ in sizes:
             own = [i for i, w in enumerate(words) if len(w) == size]
@@ -124,19 +129,29 @@ class Items:
                 key = cgk_keys(flat, np.arange(len(own)) * size, size, r)
                 order = np.argsort(key, kind="stable")
                 keys[size, r] = key[order], np.array(own)[order]
-        return cls(ids, [w.tolist() for w in words], edits, seen, sizes, keys)
-
-    def windows(self, hit: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """For each size, the starts of windows that hold enough triples of the items."""
-        n = len(hit)
-        count = np.zeros(n + 1, np.int64)
-        np.cumsum(hit, out=count[1:])
-        longest, fewest = max(s for s, _ in self.sizes), min(t for _, t in self.sizes)
-        every = np.arange(n)
-        near = np.flatnonzero(count[np.minimum(every + longest - 2, n)] - count[:-1] >= fewest)
+        return cls(ids, [w.tolist() for w in words], edits, seen, pairs["hash"], pairs["size"], sizes, keys)
+
+    def hits(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, size): places where a triple of an item of that size starts, by place."""
+        found = triples(words)
+        n = len(found)
+        likely = np.flatnonzero(self.seen[(found & np.uint64(len(self.seen) - 1)).astype(np.int64)] & (doc[:n] == doc[2 : n + 2]))
+        low, high = (np.searchsorted(self.triples, found[likely], side) for side in ("left", "right"))
+        count = high - low
+        place = np.repeat(likely, count)
+        index = np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+        return place, self.triple_size[index]
+
+    def windows(self, place: np.ndarray, place_size: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each size, the starts of windows that hold enough triples of items of that size."""
         for size, least in self.sizes:
-            starts = near[count[np.minimum(near + size - 2, n)] - count[near] >= least]
-            yield size, starts
+            own = place[place_size == size]
+            if len(own) < least:
+                continue
+            starts = np.unique((own[:, None] - np.arange(size - 2)[None, :]).ravel())
+            starts = starts[starts >= 0]
+            held = np.searchsorted(own, starts + size - 2) - np.searchsorted(own, starts)
+            yield size, starts[held >= least]
 
     def candidates(self, words: np.ndarray, size: int, starts: np.ndarray, repeats: int) -> Iterator[tuple[int, int]]:
         """(window start, item) that agree in some repeat."""
@@ -152,24 +167,21 @@ class Items:
 
 def _finder(items: Items, repeats: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.uint64(len(items.seen) - 1)
         for ids, texts in text_chunks(batches):
             words = split_words(texts, LETTERS)
-            n = max(0, len(words.hash) - 2)
-            hit = items.seen[(triples(words.hash) & mask).astype(np.int64)] & (words.doc[:n] == words.doc[2 : n + 2])
-            if not hit.any():
-                continue
+            hits = items.hits(words.hash, words.doc)
             found: dict[tuple[int, int], tuple[int, int, int]] = {}
-            tried: set[tuple[int, int]] = set()
-            for size, starts in items.windows(hit, words.doc):
+            covered: dict[tuple[int, int], list[int]] = {}
+            for size, starts in items.windows(*hits):
                 for start, item in items.candidates(words.hash, size, starts, repeats) if len(starts) else ():
                     doc = int(words.doc[start])
-                    if (start, item) in tried or found.get((doc, item), (1,))[0] == 0:
+                    near = covered.setdefault((doc, item), [])
+                    if any(abs(start - s) <= size // 2 for s in near) or found.get((doc, item), (1,))[0] == 0:
                         continue
-                    tried.add((start, item))
+                    near.append(start)
                     edits = items.edits[item]
-                    a = max(int(words.bounds[doc]), start - edits)
-                    b = min(int(words.bounds[doc + 1]), start + size + edits)
+                    a = max(int(words.bounds[doc]), start - size)
+                    b = min(int(words.bounds[doc + 1]), start + 2 * size)
                     text = words.hash[a:b].tolist()
                     distance, end = best_match(items.words[item], text)
                     if distance <= edits:
