@@ -271,10 +271,11 @@ def issue_classify(spark, sf):
     return _classified(spark, sf).select("run_id", "issue_id", "category", "severity", "area")
 
 
-@query("issue_dedupe", with_views("select distinct run_id, file_no, category, engine_severity, line from fx_issues", "fx_issues"))
+@query("issue_dedupe", with_views("select distinct run_id, file_no, category, engine_severity, coalesce(line, -1) as line from fx_issues", "fx_issues"))
 def issue_dedupe(spark, sf):
     (issues,) = fx(spark, sf, "fx_issues")
     keys = ["run_id", "file_no", "category", "engine_severity", "line"]
+    issues = issues.withColumn("line", F.coalesce("line", F.lit(-1)))
     return classify.first_of_each(issues, keys, ["issue_id"]).select(*keys)
 
 
