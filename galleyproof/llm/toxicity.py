@@ -9,7 +9,7 @@ far, so the k nearest entries by cosine are exact. Their votes are weighted by d
 and by how many labelled rows a sampled example stands for, which keeps scores calibrated.
 
 The examples are a bounded sample: of each class, the ``per_class`` training rows with the
-smallest hash of doc_id. The vocabulary and the index follow from that bound, so both can
+smallest hash of doc_id, and of those that begin or end alike, one. The vocabulary and the index follow from that bound, so both can
 be sent to every task; every document is scored, whole. A text without any term of the
 vocabulary (null and empty ones too) gets the share of label 1 among such examples.
 Without examples of both classes, every score is the smoothed share of label 1. Ties of
@@ -18,6 +18,7 @@ cosine go to the smaller example. Extra columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galleyproof.llm.common import materialise, text_chunks
@@ -37,6 +38,8 @@ BEGINNINGS = (4, 5, 6)
 BLOCK, NEIGHBOURS = 32, 15
 #: Terms below this G statistic are no evidence; a term of no use reaches it with a probability of 6e-5.
 LEAST_G = 16.0
+#: Terms whose share in one class is less than this many times that in the other tell little, however sure it is.
+LEAST_RATIO = 3.0
 _NEAREST = "doc_id long, score double, evidence array<long>"
 
 
@@ -67,7 +70,8 @@ def discriminating_terms(examples: DataFrame, sizes: tuple[int, int], most: int)
         (cell(F.col(f"d{k}"), d * (n / (n0 + n1))) + cell(n - F.col(f"d{k}"), (n0 + n1 - d) * (n / (n0 + n1))) for k, n in ((0, n0), (1, n1))),
         F.lit(0.0),
     )
-    top = counts.withColumn("g", 2 * g).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "term").limit(most)
+    lift = F.abs(F.log((F.col("d1") + 0.5) / (n1 + 1)) - F.log((F.col("d0") + 0.5) / (n0 + 1)))
+    top = counts.withColumn("g", 2 * g).where((F.col("g") >= LEAST_G) & (lift >= math.log(LEAST_RATIO))).orderBy(F.desc("g"), "term").limit(most)
     return [(r["term"], r["d0"], r["d1"]) for r in top.collect()]
 
 
@@ -164,7 +168,7 @@ class Classifier:
             near = self.index.nearest(*self.vectors.unit(counts), NEIGHBOURS)
             votes = np.array([0.5 * (1 - self.prior), 0.5 * self.prior])
             for cosine, entry in near:
-                votes = votes + self.index.votes[entry] / (0.05 + 1 - min(1.0, cosine))
+                votes = votes + self.index.votes[entry] * cosine**3 / (0.05 + 1 - min(1.0, cosine))
             found = float(votes[1] / votes.sum()), [int(self.index.example[e]) for _, e in near[:3]]
             if len(self.memo) < 100_000:
                 self.memo[counts] = found
@@ -177,7 +181,13 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Colum
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = (F.xxhash64("doc_id"), "doc_id")
     sample = rows.where("y = 0").orderBy(*order).limit(per_class).unionAll(rows.where("y = 1").orderBy(*order).limit(per_class))
-    examples = materialise(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "examples")
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # copies would vote together and make their own words look telling: texts of one class that begin or end alike count once
+    words = F.split(F.lower(F.trim(F.coalesce("text", F.lit("")))), r"\s+")
+    for edge in (F.slice(words, 1, 6), F.slice(F.reverse(words), 1, 6)):
+        once = Window.partitionBy("y", F.xxhash64(edge)).orderBy(F.xxhash64("doc_id"), "doc_id")
+        found = found.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
+    examples = materialise(found, "examples")
     taken = {r["y"]: r["n"] for r in examples.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     prior = (n1 + 1) / (n0 + n1 + 2)
