@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from galleyproof.functions import text as tx
 from galleyproof.functions.language import DIACRITICS, TRIGRAMS, detect_language
-from galleyproof.operators import align, classify, images, pairing, rollup, tags
+from galleyproof.operators import align, classify, dom, images, pairing, rollup, state, tags
 from galleyproof.plans.fixtures import fx, with_views
+from galleyproof.sources import packages, rtf
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}
@@ -448,6 +449,78 @@ def image_missing(spark, sf):
     return images.missing(sources, images.nearest_sources(sources, targets))
 
 
+# ---- trees of pages
+
+_DIRT = "replace(html, '</h1>', case page_id % 4 when 0 then ' TODO</h1>' when 1 then ' donâ€™t</h1>' else '</h1>' end)"
+
+
+def _tree(spark, sf, html="html"):
+    return dom.nodes(read(spark, sf, "pages").select("page_id", F.expr(html).alias("html")))
+
+
+@query("dom_visible_text")
+def dom_visible_text(spark, sf):
+    return dom.visible_text(_tree(spark, sf))
+
+
+@query("rule_links", "select page_id, href from (select page_id, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)) as href from pages) where not regexp_matches(href, '^(http|mailto:|#|javascript:)')")
+def rule_links(spark, sf):
+    existing = spark.createDataFrame([], "path string")
+    return dom.broken_links(_tree(spark, sf), existing).select("page_id", F.col("actual").alias("href"))
+
+
+@query("rule_placeholder", "select page_id, 'TODO' as actual from pages where page_id % 4 = 0")
+def rule_placeholder(spark, sf):
+    return dom.placeholders(dom.visible_text(_tree(spark, sf, _DIRT))).select("page_id", "actual")
+
+
+@query("rule_garbled", "select page_id, 'Garbled / Encoding Error' as category from pages where page_id % 4 = 1")
+def rule_garbled(spark, sf):
+    return dom.garbled(dom.visible_text(_tree(spark, sf, _DIRT))).select("page_id", "category")
+
+
+@query("rule_title", "select page_id from pages where regexp_extract(html, '<title>([^<]*)', 1) <> concat(case when page_id % 5 = 0 then 'X ' else '' end, regexp_extract(html, '<h1>([^<]*)', 1))")
+def rule_title(spark, sf):
+    tree = _tree(spark, sf, "if(page_id % 5 = 0, replace(html, '<h1>', '<h1>X '), html)")
+    title, heading = (dom.first_text(tree, t) for t in ("title", "h1"))
+    both = title.join(heading.withColumnRenamed("text", "heading"), "page_id")
+    return both.where(tx.norm_text(F.col("text")) != tx.norm_text(F.col("heading"))).select("page_id")
+
+
+# ---- rich text, paths, state
+
+
+@query("rtf_codepage", "select doc_id, case when doc_id % 4 = 0 then 'cp1256' when doc_id % 4 = 1 then 'cp1256' when doc_id % 4 = 2 then 'cp1250' else 'cp1252' end as codepage from documents")
+def rtf_codepage(spark, sf):
+    raw = F.expr("case doc_id % 4 when 0 then r'{\\rtf1\\ansicpg1252\\lang1065 x}' when 2 then r'{\\rtf1\\ansicpg1250 x}' else r'{\\rtf1 x}' end")
+    path = F.expr("if(doc_id % 4 = 1, concat('d', doc_id, '_UR.rtf'), concat('d', doc_id, '.rtf'))")
+    return read(spark, sf, "documents").select("doc_id", rtf.codepage(raw, path).alias("codepage"))
+
+
+@query("rtf_image_refs", "select doc_id, i as position, concat('img', cast(doc_id as varchar), '_', cast(i as varchar), '.png') as ref from documents, (values (0), (1)) v(i)")
+def rtf_image_refs(spark, sf):
+    raw = F.expr("concat('{INCLUDEPICTURE \"img', doc_id, '_0.png\" x}{ includepicture img', doc_id, '_1.png}')")
+    return read(spark, sf, "documents").select("doc_id", F.posexplode(rtf.image_references(raw)).alias("position", "ref"))
+
+
+@query("files_relpath", "select doc_id, concat('a/', cast(doc_id as varchar), '.pdf') as path from documents")
+def files_relpath(spark, sf):
+    raw = F.expr("concat('/../', if(doc_id % 2 = 0, '__MACOSX/', './'), 'a/', doc_id, '.pdf')")
+    return read(spark, sf, "documents").select("doc_id", packages.safe_relpath(raw).alias("path"))
+
+
+@query("status_latest", "select user_id, max_by(event_type, row(ts, event_id)) as status from events group by user_id")
+def status_latest(spark, sf):
+    return state.latest_status(read(spark, sf, "events").withColumnRenamed("event_type", "status"), "user_id")
+
+
+@query("token_validity", "select event_id, event_id % 4 = 0 and ts + interval 72 hours >= timestamp '2024-01-15 00:00:00' as valid from events where event_type = 'signup'")
+def token_validity(spark, sf):
+    signups = read(spark, sf, "events").where("event_type = 'signup'")
+    status = F.when(F.col("event_id") % 4 == 0, "pending").otherwise("used")
+    return signups.select("event_id", state.is_valid(status, F.expr("ts + interval 72 hours"), F.expr("timestamp_ntz '2024-01-15 00:00:00'")).alias("valid"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 
