@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -16,19 +17,27 @@ QUOTES_FROM, QUOTES_TO = "“”‘’", "\"\"''"
 DASHES = "‐‒–—−"
 ARABIC_MARKS = "[ؐ-ًؚ-ٰٟۖ-ۭـ]"
 ARABIC_FROM, ARABIC_TO = "أإآٱكيىۀ،؛؟۔", "ااااکییہ,;?."
-BULLETS = ("•", "●", "▪", "◦", "‣", "■", "□", "○", "◆", "◇", "·")
+BULLETS = ("•", "●", "◦", "▪", "▫", "·", "‣", "⁃", "◉", "○", "■")
 WORD = r"[\p{L}\p{M}\p{N}]"
 TOKEN = f"{WORD}+(?:[-'’{DASHES}]{WORD}+)*|[\\p{{P}}\\p{{S}}]"
 
-#: Stock phrases of headers and footers; a deployment configures its own.
+#: Page labels and reservations of rights, in languages of the documents.
 BOILERPLATE = (
-    r"\bpage\s+\d+\s+of\s+\d+\b",
-    r"\bpage\s+\d+\b",
-    r"\ball\s+rights\s+reserved\b",
-    r"copyright\s*©?\s*\d{4}",
+    r"\bPage\s+\d+\b",
+    r"تمام\s*حقوق\s*محفوظ\s*است[\s\.,،؛؟]*",
+    r"جملہ\s*حقوق\s*محفوظ\s*ہیں[\s\.,،؛؟]*",
+    r"جميع\s*الحقوق\s*محفوظة[\s\.,،؛؟]*",
+    r"(?:صفحه\s*\d+|\d+\s*صفحه)",
+    r"(?:الصفحة\s*\d+|\d+\s*الصفحة)",
 )
 
 
+def boilerplate_of(company: str) -> tuple[str, ...]:
+    """Patterns of stock phrases with the footers of ``company``; with or without rights reserved and a page number."""
+    name = re.sub(r"\W", lambda m: "\\" + m[0], company)
+    return (rf"(?:©\s*)?20\d{{2}}\s+{name},\s*Inc\.?\s+All\s+Rights\s+Reserved\.?(?:\s+Page\s+\d+)?", rf"©\s*20\d{{2}}\s+{name}\s*,?\s*Inc\.?", *BOILERPLATE)
+
+
 @F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Canonical composition; Spark has no function for it. Texts of plain Latin never need it."""
@@ -152,13 +161,29 @@ def context(words: Column, index: Column, radius: int = 8) -> Column:
     return F.array_join(F.slice(words, (first + 1).cast("int"), (index + radius + 1 - first).cast("int")), " ")
 
 
+#: Characters of the Arabic script, those that turn with the reading direction (not its digits), and letters of any script.
+RTL_SCRIPT = r"\p{IsArabic}"
+_TURNING = "\u0600-\u065f\u066a-\u06ef\u06fa-\u06ff\u0750-\u077f\ufb50-\ufdff\ufe70-\ufeff"
+LETTER = r"[\p{L}\p{N}_]"
+
+
+def is_mostly_rtl(arabic: Column, letters: Column) -> Column:
+    """Whether Arabic characters are at least three and 40 % of all letters."""
+    return (letters > 0) & (arabic >= F.greatest(F.lit(3.0), 0.4 * letters))
+
+
 def is_rtl_text(c: Column) -> Column:
-    """Whether Arabic letters are at least three and 40 % of all letters."""
-    arabic, letters = F.regexp_count(c, F.lit(r"\p{IsArabic}")), F.regexp_count(c, F.lit(r"\p{L}"))
-    return arabic >= F.greatest(F.lit(3.0), 0.4 * letters)
+    c = F.coalesce(c, F.lit(""))
+    return is_mostly_rtl(F.regexp_count(c, F.lit(RTL_SCRIPT)), F.regexp_count(c, F.lit(LETTER)))
+
+
+def is_rtl_word(c: Column) -> Column:
+    """Whether a word has an Arabic letter, not only digits."""
+    return c.rlike(f"[{_TURNING}]")
 
 
 def rtl_fix_line(c: Column) -> Column:
-    """Each run of Arabic characters reversed, the rest as it is."""
-    runs = F.regexp_extract_all(c, F.lit(r"\p{IsArabic}+|[^\p{IsArabic}]+"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\p{IsArabic}"), F.reverse(r)).otherwise(r)), "")
+    """In mostly Arabic text each run of Arabic words reversed as a whole, the rest as it is."""
+    runs = F.regexp_extract_all(c, F.lit(f"[{_TURNING}]+(?:(?U:\\s+)[{_TURNING}]+)*|[^{_TURNING}]+"), F.lit(0))
+    fixed = F.array_join(F.transform(runs, lambda r: F.when(is_rtl_word(r), F.reverse(r)).otherwise(r)), "")
+    return F.when(is_rtl_text(c), fixed).otherwise(c)

@@ -19,16 +19,37 @@ HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 MOJIBAKE = r"Ã.|â€™|â€œ|â€\x{9d}|\x{fffd}"
 PLACEHOLDER = r"(?i)(lorem ipsum|\btbd\b|\btodo\b|insert (?:text|image|video) here|\[placeholder\]|\bxxx\b|<<[^>]*>>)"
 
-_NODES = "page_id long, node_id int, parent_id int, kind string, tag string, attrs map<string,string>, text string, line int, path array<struct<tag:string,style:string,hidden:boolean>>"
+_NODES = "page_id long, node_id int, parent_id int, kind string, tag string, attrs map<string,string>, text string, line int, markup string, path array<struct<tag:string,style:string,hidden:boolean,node_id:int>>"
+
+#: Characters of an element's markup that issues quote.
+SNIPPET = 350
 
 
 class _Tree(HTMLParser):
     """Collects nodes; an end tag closes up to the nearest open element of its name."""
 
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
+        self.html = html
+        self.starts = [0]
+        while at := html.find("\n", self.starts[-1]) + 1:
+            self.starts.append(at)
         self.nodes: list[dict] = []
         self.open: list[tuple[int, str, dict]] = []
+        self.feed(html)
+        self.close()
+        self._close_from(0, len(html), len(html))
+
+    def _here(self) -> int:
+        line, column = self.getpos()
+        return self.starts[line - 1] + column
+
+    def _close_from(self, k: int, inner: int, outer: int) -> None:
+        """Close the elements from the k-th open one; ``outer`` is the end of that one, ``inner`` of those within."""
+        for depth, (node, *_) in enumerate(self.open[k:]):
+            begin = self.nodes[node].pop("begin")
+            self.nodes[node]["markup"] = self.html[begin : min(outer if depth == 0 else inner, begin + SNIPPET)]
+        del self.open[k:]
 
     def _add(self, kind: str, tag: str | None, attrs: dict, text: str | None) -> int:
         parent = self.open[-1][0] if self.open else None
@@ -38,16 +59,21 @@ class _Tree(HTMLParser):
     def handle_starttag(self, tag, attrs):
         found = {k: v or "" for k, v in attrs}
         node = self._add("element", tag, found, None)
-        if tag not in VOID:
-            self.open.append((node, tag, {"tag": tag, "style": found.get("style", ""), "hidden": found.get("aria-hidden", "").lower() == "true"}))
+        if tag in VOID:
+            self.nodes[node]["markup"] = self.get_starttag_text()[:SNIPPET]
+            return
+        self.nodes[node]["begin"] = self._here()
+        self.open.append((node, tag, {"tag": tag, "style": found.get("style", ""), "hidden": found.get("aria-hidden") == "true", "node_id": node}))
 
     def handle_startendtag(self, tag, attrs):
-        self._add("element", tag, {k: v or "" for k, v in attrs}, None)
+        node = self._add("element", tag, {k: v or "" for k, v in attrs}, None)
+        self.nodes[node]["markup"] = self.get_starttag_text()[:SNIPPET]
 
     def handle_endtag(self, tag):
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][1] == tag:
-                del self.open[k:]
+                here = self._here()
+                self._close_from(k, here, (self.html.find(">", here) + 1) or len(self.html))
                 return
 
     def handle_data(self, data):
@@ -55,14 +81,11 @@ class _Tree(HTMLParser):
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    step = pa.struct([("tag", pa.string()), ("style", pa.string()), ("hidden", pa.bool_())])
-    schema = pa.schema([("page_id", pa.int64()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("kind", pa.string()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("line", pa.int32()), ("path", pa.list_(step))])
+    step = pa.struct([("tag", pa.string()), ("style", pa.string()), ("hidden", pa.bool_()), ("node_id", pa.int32())])
+    schema = pa.schema([("page_id", pa.int64()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("kind", pa.string()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("line", pa.int32()), ("markup", pa.string()), ("path", pa.list_(step))])
     for batch in batches:
         for key, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            tree = _Tree()
-            tree.feed(html or "")
-            tree.close()
-            yield pa.RecordBatch.from_pylist([{"page_id": key, **n} for n in tree.nodes], schema)
+            yield pa.RecordBatch.from_pylist([{"page_id": key, **n} for n in _Tree(html or "").nodes], schema)
 
 
 def nodes(pages: DataFrame) -> DataFrame:
@@ -119,3 +142,17 @@ def first_text(tree: DataFrame, tag: str) -> DataFrame:
     """(page_id, text) within the first element ``tag`` of each page."""
     within = tree.where("kind = 'text'").where(F.expr(f"exists(path, p -> p.tag = '{tag}')"))
     return within.groupBy("page_id").agg(F.min_by("text", "node_id").alias("text"))
+
+
+def elements(tree: DataFrame, *tags: str) -> DataFrame:
+    """Elements of these names with their whole ``text``: stripped texts within, joined by spaces; empty if there is none.
+
+    Texts go to the elements around them by the path they carry, so the only shuffle is by page and element.
+    """
+    names = ", ".join(repr(t) for t in tags)
+    around = F.expr(f"filter(path, p -> p.tag in ({names}))")
+    own = tree.where("kind = 'element'").where(F.col("tag").isin(*tags))
+    bare = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    within = tree.where("kind = 'text'").where(bare != "").select("page_id", F.explode(around).alias("p"), F.struct("node_id", bare.alias("t")).alias("piece"))
+    texts = within.groupBy("page_id", F.col("p.node_id").alias("node_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("piece")), lambda x: x["t"]), " ").alias("text"))
+    return own.drop("text").join(texts, ["page_id", "node_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))

@@ -10,49 +10,15 @@ from pyspark.sql import functions as F
 from galleyproof.functions import text as tx
 from galleyproof.functions.language import DIACRITICS, TRIGRAMS, detect_language
 from galleyproof.operators import align, classify, dom, images, pairing, rollup, state, tags
+from galleyproof.plans import admin_queries, rule_queries, source_queries  # noqa: F401  (they register theirs)
 from galleyproof.plans.fixtures import fx, with_views
+from galleyproof.plans.registry import COMPARE, ORACLES, QUERIES, SCAN, SPACES, TOKENS, on, query, quoted, read
 from galleyproof.sources import packages, rtf
 
-_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_oracles: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query and, where there is one, its SQL."""
-
-    def add(function):
-        _queries[name] = function
-        if sql:
-            _oracles[name] = sql
-        return function
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def quoted(items) -> str:
-    return ", ".join("'" + x.replace("'", "''") + "'" for x in items)
-
-
-def on(template: str, column: str) -> str:
-    """A SQL template with its {} filled in."""
-    return template.replace("{}", column)
-
-
 # ---- text
 
 _DIRTY = "concat('“', text, '” – ‘x’ ', chr(8203), chr(8207), 'أحمد ـ كتاب؟ a - b')"
-_SPACES = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}]+"
-_DROP = r"[\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{200B}-\x{200D}\x{FEFF}]"
-_MARKS = r"[\x{0610}-\x{061A}\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}\x{0640}]"
-_SCAN = f"trim(regexp_replace(translate(regexp_replace(nfc_normalize({{}}), '{_DROP}', '', 'g'), '“”‘’‐‒–—−', '\"\"''''-----'), '{_SPACES}', ' ', 'g'))"
-_COMPARE = f"lower(trim(regexp_replace(translate(regexp_replace(regexp_replace(nfc_normalize({{}}), '{_DROP}', '', 'g'), '{_MARKS}', '', 'g'), '“”‘’‐‒–—−أإآٱكيىۀ،؛؟۔', '\"\"''''-----ااااکییہ,;?.'), '{_SPACES}', ' ', 'g')))"
-_TOKEN = r"[\p{L}\p{M}\p{N}]+(?:[-''’‐‒–—−][\p{L}\p{M}\p{N}]+)*|[\p{P}\p{S}]"
-_BULLETS = quoted(tx.BULLETS)
-_TOKENS = f"list_filter(regexp_extract_all({{}}, '{_TOKEN}'), lambda t: t not in ({_BULLETS}))"
+
 
 
 def _dirty(spark, sf):
@@ -65,18 +31,18 @@ def _digest(name, function, oracle):
         return _dirty(spark, sf).select("doc_id", F.md5(function(F.col("text"))).alias("h"))
 
 
-_digest("text_norm_scan", tx.norm_scan, _SCAN)
-_digest("text_norm_compare", tx.norm_compare, _COMPARE)
-_digest("text_norm_text", tx.norm_text, f"regexp_replace({_COMPARE}, '\\.+$', '')")
+_digest("text_norm_scan", tx.norm_scan, SCAN)
+_digest("text_norm_compare", tx.norm_compare, COMPARE)
+_digest("text_norm_text", tx.norm_text, f"regexp_replace({COMPARE}, '\\.+$', '')")
 
 
-@query("text_tokens", f"select doc_id, len(t) as n, md5(array_to_string(t, '|')) as h from (select doc_id, {on(_TOKENS, on(_SCAN, 'text'))} as t from documents)")
+@query("text_tokens", f"select doc_id, len(t) as n, md5(array_to_string(t, '|')) as h from (select doc_id, {on(TOKENS, on(SCAN, 'text'))} as t from documents)")
 def text_tokens(spark, sf):
     t = read(spark, sf, "documents").select("doc_id", tx.tokens(tx.norm_scan(F.col("text"))).alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", "|")).alias("h"))
 
 
-@query("text_top_tokens", f"select word, count(*) as n from (select unnest({on(_TOKENS, on(_COMPARE, 'text'))}) as word from documents) group by word order by n desc, word limit 50")
+@query("text_top_tokens", f"select word, count(*) as n from (select unnest({on(TOKENS, on(COMPARE, 'text'))}) as word from documents) group by word order by n desc, word limit 50")
 def text_top_tokens(spark, sf):
     words = read(spark, sf, "documents").select(F.explode(tx.tokens(tx.norm_compare(F.col("text")))).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(50)
@@ -85,7 +51,7 @@ def text_top_tokens(spark, sf):
 @query(
     "text_profile",
     f"""select doc_id, cast(count(*) filter (regexp_full_match(t, '[\\p{{P}}\\p{{S}}]')) as bigint) as marks, cast(count(*) filter (lower(t) <> upper(t)) as bigint) as cased, count(*) as n
-        from (select doc_id, unnest({on(_TOKENS, on(_SCAN, 'text'))}) as t from documents) group by doc_id""",
+        from (select doc_id, unnest({on(TOKENS, on(SCAN, 'text'))}) as t from documents) group by doc_id""",
 )
 def text_profile(spark, sf):
     """str_is_punct and str_has_case."""
@@ -93,17 +59,18 @@ def text_profile(spark, sf):
     return t.groupBy("doc_id").agg(F.count_if(tx.is_punctuation(F.col("t"))).alias("marks"), F.count_if(tx.has_case(F.col("t"))).alias("cased"), F.count("*").alias("n"))
 
 
-_LINES = "select doc_id, unnest(string_split(concat(text, chr(10), 'Page ', cast(doc_id as varchar), chr(10), 'All rights  reserved.', chr(10), '42', chr(10)), chr(10))) as line from documents"
-_STRIP = on(_SCAN, "line")
-for _p in tx.BOILERPLATE:
+_LINES = "select doc_id, unnest(string_split(concat(text, chr(10), 'Page ', cast(doc_id as varchar), chr(10), '© 2026 Example, Inc. All rights  reserved. Page 7', chr(10), '42', chr(10)), chr(10))) as line from documents"
+_STRIP = on(SCAN, "line")
+_STOCK = tx.boilerplate_of("Example")
+for _p in _STOCK:
     _STRIP = f"regexp_replace({_STRIP}, '(?i){_p}', ' ', 'g')"
-_STRIP = f"trim(regexp_replace({_STRIP}, '{_SPACES}', ' ', 'g'))"
+_STRIP = f"trim(regexp_replace({_STRIP}, '{SPACES}', ' ', 'g'))"
 
 
 @query("text_boilerplate", f"select doc_id, cast(count(*) filter (not regexp_matches({_STRIP}, '\\p{{L}}') or regexp_full_match(trim(line), '(?i)page\\s+\\d+')) as bigint) as boilerplate, count(*) as n, md5(string_agg({_STRIP}, '|' order by line)) as h from ({_LINES}) group by doc_id")
 def text_boilerplate(spark, sf):
-    lines = read(spark, sf, "documents").select("doc_id", F.explode(F.split(F.concat_ws("\n", "text", F.concat(F.lit("Page "), "doc_id"), F.lit("All rights  reserved."), F.lit("42"), F.lit("")), "\n")).alias("line"))
-    kept = lines.select("doc_id", "line", tx.strip_boilerplate(F.col("line")).alias("s"), tx.is_boilerplate_line(F.col("line")).alias("b"))
+    lines = read(spark, sf, "documents").select("doc_id", F.explode(F.split(F.concat_ws("\n", "text", F.concat(F.lit("Page "), "doc_id"), F.lit("© 2026 Example, Inc. All rights  reserved. Page 7"), F.lit("42"), F.lit("")), "\n")).alias("line"))
+    kept = lines.select("doc_id", "line", tx.strip_boilerplate(F.col("line"), _STOCK).alias("s"), tx.is_boilerplate_line(F.col("line"), _STOCK).alias("b"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "s"))), lambda x: x["s"]), "|")
     return kept.groupBy("doc_id").agg(F.count_if("b").alias("boilerplate"), F.count("*").alias("n"), F.md5(joined).alias("h"))
 
@@ -112,7 +79,7 @@ _HY = r"([\p{L}\p{M}\p{N}])(?:\s+-\s*|-\s+)([\p{L}\p{M}\p{N}])"
 
 
 def _canon(x: str) -> str:
-    once = f"regexp_replace({on(_COMPARE, x)}, '{_HY}', '\\1-\\2', 'g')"
+    once = f"regexp_replace({on(COMPARE, x)}, '{_HY}', '\\1-\\2', 'g')"
     return f"regexp_replace({once}, '{_HY}', '\\1-\\2', 'g')"
 
 
@@ -160,12 +127,16 @@ def text_inline_style(spark, sf):
 _RTL = "concat('abc ', case doc_id % 3 when 0 then 'كتاب قلم' when 1 then 'اب' else '' end, ' ', substr(text, 1, cast(doc_id % 12 as int)))"
 
 
-@query("rtl_is_text", f"select doc_id, len(regexp_extract_all(s, '\\p{{Arabic}}')) >= greatest(3, 0.4 * len(regexp_extract_all(s, '\\p{{L}}'))) as rtl from (select doc_id, {_RTL} as s from documents)")
+@query("rtl_is_text", f"select doc_id, len(regexp_extract_all(s, '\\p{{Arabic}}')) >= greatest(3, 0.4 * len(regexp_extract_all(s, '[\\p{{L}}\\p{{N}}_]'))) as rtl from (select doc_id, {_RTL} as s from documents)")
 def rtl_is_text(spark, sf):
     return read(spark, sf, "documents").select("doc_id", tx.is_rtl_text(F.expr(_RTL)).alias("rtl"))
 
 
-@query("rtl_fix_line", f"select doc_id, array_to_string(list_transform(regexp_extract_all({_RTL}, '\\p{{Arabic}}+|\\P{{Arabic}}+'), lambda r: case when regexp_matches(r, '^\\p{{Arabic}}') then reverse(r) else r end), '') as line from documents")
+_TURN = r"\x{0600}-\x{065F}\x{066A}-\x{06EF}\x{06FA}-\x{06FF}\x{0750}-\x{077F}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}"
+_RUNS = f"[{_TURN}]+(?:\\s+[{_TURN}]+)*|[^{_TURN}]+"
+
+
+@query("rtl_fix_line", f"select doc_id, case when len(regexp_extract_all(s, '\\p{{Arabic}}')) >= greatest(3, 0.4 * len(regexp_extract_all(s, '[\\p{{L}}\\p{{N}}_]'))) then array_to_string(list_transform(regexp_extract_all(s, '{_RUNS}'), lambda r: case when regexp_matches(r, '^[{_TURN}]') then reverse(r) else r end), '') else s end as line from (select doc_id, {_RTL} as s from documents)")
 def rtl_fix_line(spark, sf):
     return read(spark, sf, "documents").select("doc_id", tx.rtl_fix_line(F.expr(_RTL)).alias("line"))
 
@@ -177,7 +148,7 @@ def _language_sql() -> str:
     columns = ", ".join(f"{v} as {k}" for k, v in scores.items())
     best = f"greatest({', '.join(TRIGRAMS)})"
     pick = " ".join(f"when {n} = {best} then '{n}'" for n in TRIGRAMS)
-    return f"select doc_id, case {pick} end as language from (select doc_id, {columns} from (select doc_id, lower({on(_SCAN, 'substr(text, 1, 3000)')}) as s from documents))"
+    return f"select doc_id, case {pick} end as language from (select doc_id, {columns} from (select doc_id, lower({on(SCAN, 'substr(text, 1, 3000)')}) as s from documents))"
 
 
 @query("lang_detect", _language_sql())
@@ -331,12 +302,13 @@ def batch_overview(spark, sf):
     return pairs.agg(F.count("*").alias("files"), F.count_if(done & (F.col("issue_count") == 0)).alias("passed"), F.count_if(done & (F.col("issue_count") > 0)).alias("failed"), F.sum("issue_count").alias("issues"), F.sum("critical_count").alias("critical"), F.sum("major_count").alias("major"), F.sum("minor_count").alias("minor"))
 
 
-@query("run_interrupt", with_views("select run_id, case when status in ('running', 'queued') or run_id in (select run_id from fx_file_pairs where status in ('running', 'queued')) then 'interrupted' else status end as status from fx_runs", "fx_runs", "fx_file_pairs"))
+@query("run_interrupt", with_views("select run_id, case when status in ('running', 'queued') or (status = 'prepared' and run_id in (select run_id from fx_file_pairs where status in ('running', 'queued', 'interrupted'))) then 'interrupted' else status end as status from (select run_id, case when run_id % 3 = 0 then 'prepared' else status end as status from fx_runs)", "fx_runs", "fx_file_pairs"))
 def run_interrupt(spark, sf):
-    return rollup.interrupt(*fx(spark, sf, "fx_runs", "fx_file_pairs"))[0].select("run_id", "status")
+    runs, pairs = fx(spark, sf, "fx_runs", "fx_file_pairs")
+    return rollup.interrupt(runs.withColumn("status", F.when(F.col("run_id") % 3 == 0, "prepared").otherwise(F.col("status"))), pairs)[0].select("run_id", "status")
 
 
-@query("user_runs", with_views("select u.id, username, role, count(r.run_id) as total_runs, count(*) filter (r.status = 'done') as completed_runs, count(*) filter (r.status in ('failed', 'interrupted')) as problem_runs from fx_users u left join fx_runs r on u.id = r.user_id group by u.id, username, role", "fx_users", "fx_runs"))
+@query("user_runs", with_views("select u.id, username, role, count(r.run_id) as total_runs, count(*) filter (r.status = 'done') as completed_runs, count(*) filter (r.status in ('failed', 'error', 'interrupted')) as problem_runs from fx_users u left join fx_runs r on u.id = r.user_id group by u.id, username, role", "fx_users", "fx_runs"))
 def user_runs(spark, sf):
     return rollup.user_runs(*fx(spark, sf, "fx_users", "fx_runs"))
 
@@ -347,10 +319,10 @@ def runs_recent(spark, sf):
     return rollup.newest(rollup.runs_with_users(runs, users), "created_at", "run_id", 250).select("run_id", "username", "status", "created_at")
 
 
-@query("problem_runs", with_views("select run_id, username, r.status from fx_runs r join fx_users u on u.id = r.user_id where r.status in ('failed', 'interrupted') order by created_at desc, run_id desc limit 250", "fx_runs", "fx_users"))
+@query("problem_runs", with_views("select run_id, username, r.status from fx_runs r join fx_users u on u.id = r.user_id where r.status in ('failed', 'error', 'interrupted') order by created_at desc, run_id desc limit 250", "fx_runs", "fx_users"))
 def problem_runs(spark, sf):
     runs, users = fx(spark, sf, "fx_runs", "fx_users")
-    broken = runs.where(F.col("status").isin("failed", "interrupted"))
+    broken = runs.where(F.col("status").isin("failed", "error", "interrupted"))
     return rollup.newest(rollup.runs_with_users(broken, users), "created_at", "run_id", 250).select("run_id", "username", "status")
 
 
@@ -372,9 +344,9 @@ def issues_for_run(spark, sf):
     return issues.join(pairs.select("run_id", "file_no", "status"), ["run_id", "file_no"]).select("run_id", "file_no", "issue_id", "status")
 
 
-@query("admin_summary", with_views("select u.*, r.*, p.* from (select count(*) as users, count(*) filter (status = 'active') as active_users from fx_users) u, (select count(*) as runs, count(*) filter (status = 'done') as completed_runs, count(*) filter (status = 'running') as running_runs, count(*) filter (status = 'interrupted') as interrupted_runs from fx_runs) r, (select count(*) as files, count(*) filter (status = 'done') as completed_files, cast(sum(issue_count) as bigint) as issues from fx_file_pairs) p", "fx_users", "fx_runs", "fx_file_pairs"))
+@query("admin_summary", with_views("select * from (select count(*) as users, count(*) filter (status = 'active') as active_users from fx_users), (select count(*) filter (status = 'pending') as pending_invites from fx_invites), (select count(*) filter (status in ('requested', 'link_generated')) as pending_resets from fx_resets), (select count(*) as runs, count(*) filter (status = 'done') as completed_runs, count(*) filter (status in ('failed', 'error')) as failed_runs, count(*) filter (status = 'interrupted') as interrupted_runs, cast(sum(critical_count) as bigint) as critical_issues from fx_runs)", "fx_users", "fx_invites", "fx_resets", "fx_runs"))
 def admin_summary(spark, sf):
-    return rollup.admin_summary(*fx(spark, sf, "fx_users", "fx_runs", "fx_file_pairs"))
+    return rollup.admin_summary(*fx(spark, sf, "fx_users", "fx_invites", "fx_resets", "fx_runs"))
 
 
 @query("audit_recent", with_views("select event_id, user_id, action, cast(json_extract_string(details, '$.k') as bigint) as k from fx_audit order by created_at desc, event_id desc limit 300", "fx_audit"))
@@ -399,7 +371,7 @@ def align_issues(spark, sf):
     return align.text_issues(pairs)
 
 
-@query("align_tiling", f"select item_id as pair_id, cast(len({on(_TOKENS, on(_COMPARE, 'text'))}) as bigint) as n, true as tiles from benchmark")
+@query("align_tiling", f"select item_id as pair_id, cast(len({on(TOKENS, on(COMPARE, 'text'))}) as bigint) as n, true as tiles from benchmark")
 def align_tiling(spark, sf):
     """The operations tile both sequences, and equal ones have equal tokens."""
     words = lambda c: tx.tokens(tx.norm_compare(c))
@@ -522,8 +494,8 @@ def token_validity(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_queries)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_oracles)
+    return dict(ORACLES)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from galleyproof.session import map_arrow
 
-EXTENSIONS = (".pdf", ".rtf", ".html", ".htm", ".docx", ".png", ".jpg", ".jpeg", ".gif", ".webp", ".zip")
+EXTENSIONS = (".pdf", ".rtf", ".html", ".htm", ".docx", ".png", ".jpg", ".jpeg", ".gif", ".webp", ".bmp", ".svg", ".zip")
 MAX_DEPTH, MAX_FILES, MAX_BYTES = 4, 3000, 500 * 1024 * 1024
 _ITEMS = "package string, relpath string, depth int, content binary, error string"
 
