@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -38,17 +38,98 @@ def opcodes(pairs: DataFrame) -> DataFrame:
     return equal.unionByName(map_arrow(other, _align, _SCHEMA))
 
 
-def merge_hyphens(words: Column) -> Column:
-    """Tokens with each word, hyphen, word joined, from left to right without overlaps."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once though ``body`` names it within lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _joined(tokens: Column, taken: Column, join: Callable[[Column, Column, Column], Column]) -> Column:
+    """``tokens`` with those at the indices ``taken`` joined with their neighbours."""
+    kept = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: ~F.array_contains(taken, i) & ~F.array_contains(taken, i - 1))
+    one = lambda i: F.when(F.array_contains(taken, i + 1), join(F.get(tokens, i), F.get(tokens, i + 1), F.get(tokens, i + 2))).otherwise(F.get(tokens, i))
+    return F.when(F.size(taken) == 0, tokens).otherwise(F.transform(kept, one))
+
+
+def _hyphens(words: Column) -> Column:
+    """Indices of hyphens between plain words, from left to right without overlaps: of two around one word the first."""
     plain = f"^{tx.WORD}+$"
-    n = lambda a: F.size(a)
+    at = F.when(F.size(words) > 2, F.sequence(F.lit(1), F.size(words) - 2)).otherwise(F.expr("cast(array() as array<int>)"))
+    between = F.filter(at, lambda i: (F.get(words, i) == "-") & F.get(words, i - 1).rlike(plain) & F.get(words, i + 1).rlike(plain))
+    step = lambda a, i: F.when(F.coalesce(F.get(a, F.size(a) - 1) == i - 2, F.lit(False)), a).otherwise(F.concat(a, F.array(i)))
+    return F.aggregate(between, F.expr("cast(array() as array<int>)"), step)
+
+
+def merge_hyphens(words: Column) -> Column:
+    """Words with each word, hyphen, word joined; only hyphens are folded, so long texts stay cheap."""
+    return _let(words, lambda w: _let(_hyphens(w), lambda at: _joined(w, at, F.concat)))
+
+
+def merge_hyphen_tokens(tokens: Column) -> Column:
+    """The same for tokens with flags: line and node are the first word's, bold and heading hold if they hold for one, the block for all."""
+
+    def join(a: Column, h: Column, b: Column) -> Column:
+        text = F.concat(a["text"], h["text"], b["text"])
+        flags = {"line": a["line"], "node": a["node"], "tag": a["tag"], "bold": a["bold"] | h["bold"] | b["bold"], "heading_level": F.greatest(a["heading_level"], h["heading_level"], b["heading_level"]), "in_allowed_block": a["in_allowed_block"] & h["in_allowed_block"] & b["in_allowed_block"]}
+        parts = {"text": text, "norm": tx.norm_compare(text), **flags}
+        return F.named_struct(*(x for k, v in parts.items() for x in (F.lit(k), v))).cast(_TOKEN)
+
+    texts = lambda all_: F.transform(all_, lambda t: t["text"])
+    return _let(tokens, lambda own: _let(_let(texts(own), _hyphens), lambda at: _joined(own, at, join)))
+
+
+_TOKEN = "struct<text:string,norm:string,line:int,node:int,tag:string,bold:boolean,heading_level:int,in_allowed_block:boolean>"
 
-    def step(a: Column, t: Column) -> Column:
-        last, before = F.get(a, n(a) - 1), F.get(a, n(a) - 2)
-        joins = F.coalesce((last == "-") & before.rlike(plain) & t.rlike(plain), F.lit(False))
-        return F.when(joins, F.concat(F.slice(a, F.lit(1), F.greatest(n(a) - 2, F.lit(0))), F.array(F.concat(before, last, t)))).otherwise(F.concat(a, F.array(t)))
 
-    return F.aggregate(words, F.expr("cast(array() as array<string>)"), step)
+def page_tokens(shown: DataFrame) -> DataFrame:
+    """(pair_id, tokens) of the shown texts of pages: words in document order, each with the flags of its text."""
+    own = F.transform(tx.tokens(tx.strip_boilerplate(F.col("text"))), lambda t: F.named_struct(F.lit("text"), t, F.lit("norm"), tx.norm_compare(t), F.lit("line"), F.col("line"), F.lit("node"), F.col("node_id"), F.lit("tag"), F.col("parent_tag"), F.lit("bold"), F.col("bold"), F.lit("heading_level"), F.col("heading_level"), F.lit("in_allowed_block"), F.col("in_allowed_block")).cast(_TOKEN))
+    texts = shown.select(F.col("page_id").alias("pair_id"), F.struct("node_id", own.alias("t")).alias("piece"))
+    return texts.groupBy("pair_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list("piece")), lambda p: p["t"])).alias("tokens"))
+
+
+def token_issues(sources: DataFrame, targets: DataFrame, emit_capitalization: bool = False) -> DataFrame:
+    """Issues of aligned documents, ``sources`` and ``targets`` being (pair_id, tokens).
+
+    (pair_id, position, category, engine_severity, line, expected, actual). Differences of
+    words give text issues at the line of the next target token. Equal words give
+    issues where the source is bold or a heading and the target is not, where levels differ,
+    and where a target is outside any block. Issues alike in all but position are one.
+    A side without tokens is empty; pairs without any row on one side do not appear.
+    Differences in case alone are found only on request.
+    """
+    both = sources.select("pair_id", merge_hyphen_tokens(F.col("tokens")).alias("s")).join(targets.select("pair_id", merge_hyphen_tokens(F.col("tokens")).alias("t")), "pair_id")
+    norms = both.select("pair_id", F.transform("s", lambda x: x["norm"]).alias("source"), F.transform("t", lambda x: x["norm"]).alias("target"))
+    ops = both.join(opcodes(norms), "pair_id").select("pair_id", "s", "t", F.explode("ops").alias("o"))
+    part = lambda c, a, b: F.transform(F.slice(F.col(c), F.col(f"o.{a}") + 1, F.col(f"o.{b}") - F.col(f"o.{a}")), lambda x: x["text"])
+    parts = ops.where("o.op <> 'equal'").select("pair_id", "o", part("s", "i1", "i2").alias("sp"), part("t", "j1", "j2").alias("tp"), F.get("t", F.col("o.j1"))["line"].alias("line"))
+    shaped = lambda rows, category, severity, line, expected, actual, position: rows.select("pair_id", position.alias("position"), category.alias("category"), F.lit(severity).alias("engine_severity"), line.alias("line"), expected.alias("expected"), actual.alias("actual"))
+    changed = shaped(parts, _text_category(), "error", F.col("line"), F.array_join("sp", " "), F.array_join("tp", " "), F.col("o.i1"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("o.i2") - F.col("o.i1") - 1), lambda k: F.struct(F.get("s", F.col("o.i1") + k).alias("p"), F.get("t", F.col("o.j1") + k).alias("h"), (F.col("o.i1") + k).alias("i")))
+    equal = ops.where("o.op = 'equal'").select("pair_id", F.inline(pairs).alias("p", "h", "i"))
+    name, heads, has = F.coalesce("h.tag", "h.text"), F.col("p.heading_level") > 0, F.col("h.heading_level") > 0
+    level = F.concat(F.lit("h"), "p.heading_level")
+    rules = [
+        (F.col("p.bold") & ~heads & ~F.col("h.bold"), "Missing Strong/Bold Tag", F.lit("strong/b or font-weight:bold"), name, "warning"),
+        (heads & ~has, "Missing Heading Tag", level, name, "warning"),
+        (heads & has & (F.col("p.heading_level") != F.col("h.heading_level")), "Heading Level Mismatch", level, F.concat(F.lit("h"), "h.heading_level"), "warning"),
+        (~F.col("h.in_allowed_block") & ~heads, "Missing Paragraph/List Tag", F.lit("p/li/h1-h6/td/th/figcaption"), name, "warning"),
+    ]
+    if emit_capitalization:
+        rules.append(((F.col("p.text") != F.col("h.text")) & (F.lower("p.text") == F.lower("h.text")) & tx.has_case(F.col("p.text")), "Capitalization Mismatch", F.col("p.text"), F.col("h.text"), "error"))
+    out = changed.where(~tx.hyphen_noise(F.col("expected"), F.col("actual")))
+    for broken, category, expected, actual, severity in rules:
+        out = out.unionByName(shaped(equal.where(F.coalesce(broken, F.lit(False))), F.lit(category), severity, F.col("h.line"), expected, actual, F.col("i")))
+    return out.groupBy("pair_id", "category", "engine_severity", "line", "expected", "actual").agg(F.min("position").alias("position"))
+
+
+def _text_category() -> Column:
+    """What a difference is, by its operation ``o`` and the texts of its sides ``sp`` and ``tp``."""
+    marks = lambda c: F.forall(c, tx.is_punctuation)
+    return (
+        F.when(F.col("o.op") == "replace", F.when(marks("sp") | marks("tp"), "Punctuation Mismatch").otherwise("Changed Text"))
+        .when(F.col("o.op") == "delete", F.when(marks("sp"), "Missing Punctuation").otherwise("Missing Text"))
+        .otherwise(F.when(marks("tp"), "Extra Punctuation").otherwise("Extra Text"))
+    )
 
 
 def text_issues(pairs: DataFrame) -> DataFrame:
@@ -63,12 +144,6 @@ def text_issues(pairs: DataFrame) -> DataFrame:
     found = opcodes(norms).select("pair_id", F.explode("ops").alias("o")).where("o.op <> 'equal'").join(tokens, "pair_id")
     part = lambda c, a, b: F.slice(F.col(c), F.col(f"o.{a}") + 1, F.col(f"o.{b}") - F.col(f"o.{a}"))
     parts = found.select("pair_id", "o", part("s", "i1", "i2").alias("sp"), part("t", "j1", "j2").alias("tp"))
-    marks = lambda c: F.forall(c, tx.is_punctuation)
-    category = (
-        F.when(F.col("o.op") == "replace", F.when(marks("sp") | marks("tp"), "Punctuation Mismatch").otherwise("Changed Text"))
-        .when(F.col("o.op") == "delete", F.when(marks("sp"), "Missing Punctuation").otherwise("Missing Text"))
-        .otherwise(F.when(marks("tp"), "Extra Punctuation").otherwise("Extra Text"))
-    )
-    out = parts.select("pair_id", F.col("o.i1").alias("position"), category.alias("category"), F.lit("error").alias("engine_severity"), F.array_join("sp", " ").alias("expected"), F.array_join("tp", " ").alias("actual"))
+    out = parts.select("pair_id", F.col("o.i1").alias("position"), _text_category().alias("category"), F.lit("error").alias("engine_severity"), F.array_join("sp", " ").alias("expected"), F.array_join("tp", " ").alias("actual"))
     kept = out.where(~tx.hyphen_noise(F.col("expected"), F.col("actual")))
     return kept.groupBy("pair_id", "category", "engine_severity", "expected", "actual").agg(F.min("position").alias("position"))

@@ -116,7 +116,7 @@ def in_allowed_block() -> Column:
 
 def visible_text(tree: DataFrame) -> DataFrame:
     """Shown texts with the flags that alignment compares."""
-    return tree.where("kind = 'text'").where(visible()).select("page_id", "node_id", "line", "text", bold().alias("bold"), italic().alias("italic"), heading_level().alias("heading_level"), in_allowed_block().alias("in_allowed_block"))
+    return tree.where("kind = 'text'").where(visible()).select("page_id", "node_id", "line", "text", bold().alias("bold"), italic().alias("italic"), heading_level().alias("heading_level"), in_allowed_block().alias("in_allowed_block"), F.try_element_at("path", F.lit(-1))["tag"].alias("parent_tag"))
 
 
 def _issue(rows: DataFrame, category: str, actual: Column) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from galleyproof.operators import dom, images, rules
+from galleyproof.operators import align, dom, images, rules
 from galleyproof.plans.fixtures import fx, with_views
 from galleyproof.plans.registry import query, read
 
@@ -141,3 +141,19 @@ def image_repeated(spark, sf):
 def image_content(spark, sf):
     shown = read(spark, sf, "embeddings").selectExpr("vec_id % 50 as doc_id", "vec_id as idx", "if(vec_id % 9 = 0, 'a/Logo.PNG', concat('a/', vec_id, '.png')) as name", "if(vec_id % 9 = 1, 2, 100) as width", "if(vec_id % 9 = 1, 2, 50) as height")
     return images.content_images(shown, ("logo.png",)).select("idx", "position")
+
+
+# ---- alignment of pages
+
+
+@query(
+    "align_headings",
+    """select page_id as pair_id, 'Missing Heading Tag' as category, 'h1' as expected, 'div' as actual from pages where page_id % 3 = 0
+    union all select page_id, 'Heading Level Mismatch', 'h1', 'h2' from pages where page_id % 3 = 1""",
+)
+def align_headings(spark, sf):
+    """Pages against themselves with other headings: all words agree, the headings do not."""
+    other = "case page_id % 3 when 0 then replace(replace(html, '<h1>', '<div>'), '</h1>', '</div>') when 1 then replace(replace(html, '<h1>', '<h2>'), '</h1>', '</h2>') else html end"
+    sources, targets = (align.page_tokens(dom.visible_text(_tree(spark, sf, h))) for h in ("html", other))
+    found = align.token_issues(sources, targets)
+    return found.where(F.col("category").contains("Heading")).select("pair_id", "category", "expected", "actual")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from galleyproof.functions import text as tx
 from galleyproof.functions.language import detect_language
-from galleyproof.operators import align, classify, tags
+from galleyproof.operators import align, classify, dom, tags
 
 
 def one(spark, column):
@@ -68,3 +68,16 @@ def test_alignment(spark):
     pairs = spark.createDataFrame([(1, "a b c", "a c"), (2, "a ,", "a"), (3, "Body", "boDy"), (4, "x y", "x z")], "pair_id long, source_text string, target_text string")
     found = {(r["pair_id"], r["category"], r["expected"], r["actual"]) for r in align.text_issues(pairs).collect()}
     assert found == {(1, "Missing Text", "b", ""), (2, "Missing Punctuation", ",", ""), (4, "Changed Text", "y", "z")}
+
+
+def test_alignment_of_pages(spark):
+    def tokens(*pages):
+        made = spark.createDataFrame([(i, h) for i, h in enumerate(pages)], "page_id long, html string")
+        return align.page_tokens(dom.visible_text(dom.nodes(made)))
+
+    sources = tokens("<p><b>Big</b> word</p>", "<h2>T</h2>", "<p>a</p>", "<p>mini - stroke b</p>", "<p>Body</p>")
+    targets = tokens("<p>Big word</p>", "<p>T</p>", "<div>a</div>", "<p>mini-stroke\n</p>\n<p>c</p>", "<p>boDy</p>")
+    found = {(r["pair_id"], r["category"], r["line"], r["expected"], r["actual"]) for r in align.token_issues(sources, targets).collect()}
+    assert found == {(0, "Missing Strong/Bold Tag", 1, "strong/b or font-weight:bold", "p"), (1, "Missing Heading Tag", 1, "h2", "p"), (2, "Missing Paragraph/List Tag", 1, "p/li/h1-h6/td/th/figcaption", "div"), (3, "Changed Text", 3, "b", "c")}
+    loud = align.token_issues(sources, targets, emit_capitalization=True).where("category = 'Capitalization Mismatch'")
+    assert [(r["expected"], r["actual"]) for r in loud.collect()] == [("Body", "boDy")]
