@@ -45,3 +45,22 @@ def test_stream_counts(spark, tmp_path):
     rows.write.parquet(folder)
     got = counts.run_once(spark, folder, rows.schema, "status_counts", str(tmp_path / "checkpoint"))
     assert sorted(map(tuple, got.collect())) == [(1, "done", 2), (2, "error", 1)]
+
+
+def test_uploads_in_batches_and_as_they_come(spark, tmp_path):
+    from galleyproof.sources import uploads
+
+    folder = tmp_path / "in"
+    (folder / "English").mkdir(parents=True)
+    (folder / "English" / "a.PDF").write_bytes(b"1")
+    (folder / "b.exe").write_bytes(b"2")
+    assert [(r["relpath"], r["ext"], bytes(r["content"])) for r in uploads.read(spark, str(folder)).collect()] == [("English/a.PDF", ".pdf", b"1")]
+    out = str(tmp_path / "out")
+
+    def handle(files, batch):
+        files.select("path", "content").write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    uploads.ingest_new(spark, str(folder), str(tmp_path / "state"), handle)
+    (folder / "c.rtf").write_bytes(b"3")
+    uploads.ingest_new(spark, str(folder), str(tmp_path / "state"), handle)
+    assert {bytes(r["content"]) for r in spark.read.parquet(out).collect()} == {b"1", b"3"}
