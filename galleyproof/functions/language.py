@@ -26,13 +26,17 @@ TRIGRAMS = {
 
 
 def _count(c: Column, part: str) -> Column:
-    """Occurrences that do not overlap."""
-    return (F.length(c) - F.length(F.replace(c, F.lit(part), F.lit("")))) / len(part)
+    """Occurrences that do not overlap; counted by bytes, whose number a string knows."""
+    return (F.octet_length(c) - F.octet_length(F.replace(c, F.lit(part), F.lit("")))) / len(part.encode())
 
 
 def detect_language(text: Column) -> Column:
     """A language name: by script if a script has over 20 letters, else by trigrams; ties go to the first."""
     sample = F.lower(norm_scan(F.substring(F.coalesce(text, F.lit("")), 1, SAMPLE)))
+    return F.get(F.transform(F.array(sample), _language_of), F.lit(0))  # the sample is made once for all counts
+
+
+def _language_of(sample: Column) -> Column:
     scores = {name: reduce(lambda a, b: a + b, (_count(sample, t) for t in grams)) for name, grams in TRIGRAMS.items()}
     plain = F.regexp_count(sample, F.lit(DIACRITICS)) < 5
     scores["English"] = F.when(plain, scores["English"] * 1.5).otherwise(scores["English"])
