@@ -1,15 +1,17 @@
 """Toxicity scores from the nearest labelled examples.
 
-Texts are TF-IDF vectors over words and word beginnings that tell the classes apart (by
-the G statistic on the examples). Examples with equal vectors are one entry with the
-weight of its members in each class, and entries lie in an inverted index whose postings
-are cut into blocks with a maximum weight each. A query bounds every block by its maxima
-and scores blocks from the highest bound down until no block can reach the k best so
-far, so the k nearest entries by cosine are exact. Their votes are weighted by distance
-and by how many labelled rows a sampled example stands for, which keeps scores calibrated.
+Texts are TF-IDF vectors over all words and word beginnings of the examples. A term's
+weight also grows with how surely it tells the classes apart (by the G statistic on the
+examples) and is never zero, so that no term is left out and the many words that say
+nothing do not drown the few that do. Examples with equal vectors are one entry with the
+weight of its members in each class. Entries lie in blocks, with the largest weight of
+each term in each block. A query bounds every block by these and scores the blocks of the
+highest bounds; blocks that could reach the k best so far are then all scored, so the k
+nearest entries by cosine are exact. Their votes are weighted by distance and by how many
+labelled rows a sampled example stands for, which keeps scores calibrated.
 
 The examples are a bounded sample: of each class, the ``per_class`` training rows with the
-smallest hash of doc_id, and of those that begin or end alike, one. The vocabulary and the index follow from that bound, so both can
+smallest hash of doc_id. The vocabulary and the index follow from that bound, so both can
 be sent to every task; every document is scored, whole. A text without any term of the
 vocabulary (null and empty ones too) gets the share of label 1 among such examples.
 Without examples of both classes, every score is the smoothed share of label 1. Ties of
@@ -18,7 +20,6 @@ cosine go to the smaller example. Extra columns are not read.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,10 +38,10 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: Beginnings of a word of these many letters are terms beside the word itself.
 BEGINNINGS = (4, 5, 6)
 BLOCK, NEIGHBOURS = 32, 15
-#: Terms below this G statistic are no evidence; a term of no use reaches it with a probability of 6e-5.
-LEAST_G = 16.0
-#: Terms whose share in one class is less than this many times that in the other tell little, however sure it is.
-LEAST_RATIO = 3.0
+#: A term of this G statistic has a quarter of the weight of one that tells the classes apart beyond doubt.
+HALF_G = 16.0
+#: Blocks scored before the bounds of the others are judged.
+FIRST_BLOCKS = 4
 _NEAREST = "doc_id long, score double, evidence array<long>"
 
 
@@ -59,32 +61,34 @@ def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([y] * len(terms), pa.int32())], ["term", "y"])
 
 
-def discriminating_terms(examples: DataFrame, sizes: tuple[int, int], most: int) -> list[tuple[str, int, int]]:
-    """(term, examples of class 0, of class 1) of the ``most`` terms with the highest G statistic."""
+def term_counts(examples: DataFrame) -> tuple[list[str], np.ndarray]:
+    """All terms of the examples, sorted, and how many examples of class 0 and 1 have each, one row a class."""
     pairs = map_arrow(examples.select("y", "text"), _example_terms, "term string, y int")
-    counts = pairs.groupBy("term").agg(F.sum(F.lit(1) - F.col("y")).alias("d0"), F.sum("y").alias("d1"))
-    n0, n1 = map(float, sizes)
-    cell = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-    d = F.col("d0") + F.col("d1")
-    g = sum(
-        (cell(F.col(f"d{k}"), d * (n / (n0 + n1))) + cell(n - F.col(f"d{k}"), (n0 + n1 - d) * (n / (n0 + n1))) for k, n in ((0, n0), (1, n1))),
-        F.lit(0.0),
-    )
-    lift = F.abs(F.log((F.col("d1") + 0.5) / (n1 + 1)) - F.log((F.col("d0") + 0.5) / (n0 + 1)))
-    top = counts.withColumn("g", 2 * g).where((F.col("g") >= LEAST_G) & (lift >= math.log(LEAST_RATIO))).orderBy(F.desc("g"), "term").limit(most)
-    return [(r["term"], r["d0"], r["d1"]) for r in top.collect()]
+    counts = pairs.groupBy("term").agg(F.sum(F.lit(1) - F.col("y")).alias("d0"), F.sum("y").alias("d1")).toArrow().sort_by("term")
+    return counts["term"].to_pylist(), np.stack([counts["d0"].to_numpy(), counts["d1"].to_numpy()]).astype(float)
+
+
+def evidence(seen: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A factor above 0 and below 1 for each term: how surely it tells the classes apart. seen: examples with it, one row a class."""
+    total = seen.sum(axis=0)
+    g = np.zeros(len(total))
+    for own, n in zip(seen, sizes, strict=True):
+        for part, expected in ((own, total * n / sizes.sum()), (n - own, (sizes.sum() - total) * n / sizes.sum())):
+            g += 2 * np.where(part > 0, part * np.log(np.maximum(part, 1) / np.maximum(expected, 1e-300)), 0)
+    g = np.maximum(g, 0) + 0.1
+    return (g / (g + HALF_G)) ** 2
 
 
 @dataclass
 class Vectors:
-    """Sparse unit vectors over the chosen terms."""
+    """Sparse unit vectors over the terms."""
 
     index: dict[str, int]
-    idf: np.ndarray
+    idf: np.ndarray  #: with the evidence of each term
     seen: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
-    def counts(self, text: str) -> tuple[tuple[int, int], ...]:
-        """(term, occurrences), sorted."""
+    def counts(self, text: str) -> dict[int, int]:
+        """Occurrences of each term."""
         total: dict[int, int] = {}
         for word, n in words_of(text).items():
             ids = self.seen.get(word)
@@ -94,61 +98,98 @@ class Vectors:
                     self.seen[word] = ids
             for i in ids:
                 total[i] = total.get(i, 0) + n
-        return tuple(sorted(total.items()))
-
-    def unit(self, counts: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array([i for i, _ in counts], np.int64)
-        weight = (1 + np.log(np.array([n for _, n in counts], float))) * self.idf[ids]
+        return total
+
+    def unit(self, counts: dict[int, int] | tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
+        counts = dict(counts)
+        ids = np.fromiter(counts, np.int64, len(counts))
+        order = np.argsort(ids)
+        ids = ids[order]
+        weight = (1 + np.log(np.fromiter(counts.values(), float, len(counts))[order])) * self.idf[ids]
         return ids, weight / np.sqrt((weight * weight).sum())
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... (sizes[i] numbers), one after another."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
 @dataclass
 class BlockMaxIndex:
-    """Entries by descending main term, with postings by term and block."""
+    """Entries by descending main term in blocks; postings by entry and by term, and the cells (term, block) that have any."""
 
-    starts: np.ndarray  #: (terms, blocks + 1): bounds of a block's postings of a term
-    entry: np.ndarray
+    bounds: np.ndarray  #: bounds of the postings of each entry
+    term: np.ndarray
     weight: np.ndarray
-    maxima: np.ndarray  #: (terms, blocks)
+    starts: np.ndarray  #: bounds of the postings of each term
+    entry: np.ndarray
+    by_term: np.ndarray  #: their weights
+    cells: np.ndarray  #: bounds of the cells of each term
+    block: np.ndarray
+    maxima: np.ndarray
     votes: np.ndarray  #: (entries, 2)
     example: np.ndarray  #: smallest doc_id of each entry
     size: int
 
     @classmethod
     def of(cls, vectors: Vectors, entries: dict[tuple, tuple[float, float, int]]) -> BlockMaxIndex:
-        units = [(vectors.unit(c), v) for c, v in entries.items()]
+        return cls.of_units(len(vectors.idf), [(vectors.unit(c), v) for c, v in entries.items()])
+
+    @classmethod
+    def of_units(cls, terms: int, units: list[tuple[tuple[np.ndarray, np.ndarray], tuple[float, float, int]]]) -> BlockMaxIndex:
         # like entries in the same blocks, so that few blocks have high bounds
-        units.sort(key=lambda u: (int(u[0][0][np.argmax(u[0][1])]), -float(u[0][1].max()), u[1][2]))
-        n, blocks = len(units), -(-len(units) // BLOCK)
-        term = np.concatenate([u[0][0] for u in units]) if units else np.zeros(0, np.int64)
-        weight = np.concatenate([u[0][1] for u in units]) if units else np.zeros(0)
-        entry = np.repeat(np.arange(n), [len(u[0][0]) for u in units])
-        order = np.lexsort((entry, term))
+        units = sorted(units, key=lambda u: (int(u[0][0][np.argmax(u[0][1])]), -float(u[0][1].max()), u[1][2]))
+        n = len(units)
+        sizes = np.array([len(u[0][0]) for u in units], np.int64)
+        term = np.concatenate([u[0][0] for u in units]).astype(np.int32) if units else np.zeros(0, np.int32)
+        weight = np.concatenate([u[0][1] for u in units]).astype(np.float32) if units else np.zeros(0, np.float32)
+        entry = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        order = np.argsort(term, kind="stable")
+        by_entry = term, weight
         term, weight, entry = term[order], weight[order], entry[order]
-        width = blocks + 1
-        edges = (np.arange(len(vectors.idf))[:, None] * (width * BLOCK) + np.arange(width)[None, :] * BLOCK).ravel()
-        starts = np.searchsorted(term * (width * BLOCK) + entry, edges).reshape(-1, width)
-        maxima = np.zeros((len(vectors.idf), blocks))
-        np.maximum.at(maxima, (term, entry // BLOCK), weight)
-        return cls(starts, entry, weight, maxima, np.array([u[1][:2] for u in units]).reshape(n, 2), np.array([u[1][2] for u in units], np.int64), n)
+        place = np.arange(terms + 1)
+        block = entry // BLOCK
+        first = np.flatnonzero(np.diff(term, prepend=-1).astype(bool) | np.diff(block, prepend=-1).astype(bool))
+        maxima = np.maximum.reduceat(weight, first) if len(first) else weight
+        return cls(
+            np.concatenate([[0], np.cumsum(sizes)]), *by_entry, np.searchsorted(term, place), entry, weight, np.searchsorted(term[first], place), block[first], maxima,
+            np.array([u[1][:2] for u in units]).reshape(n, 2), np.array([u[1][2] for u in units], np.int64), n,
+        )
+
+    def _summed(self, ids: np.ndarray, weights: np.ndarray, starts: np.ndarray, place: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+        sizes = starts[ids + 1] - starts[ids]
+        at = _ranges(starts[ids], sizes)
+        return np.bincount(place[at], weights=np.repeat(weights, sizes) * values[at], minlength=n)
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The ``k`` entries of the highest positive cosine: (cosine, entry), best first."""
-        bounds = weights @ self.maxima[ids]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] + 1e-9 < -best[-1][0]:
-                break
-            first = int(b) * BLOCK
-            score = np.zeros(min(BLOCK, self.size - first))
-            for t, w in zip(ids, weights, strict=True):
-                a, z = self.starts[t, b], self.starts[t, b + 1]
-                if z > a:
-                    score[self.entry[a:z] - first] += w * self.weight[a:z]
-            best += [(-round(float(s), 12), first + i) for i, s in enumerate(score) if s > 0]
-            best.sort(key=lambda x: (x[0], self.example[x[1]]))
-            del best[k:]
-        return [(-s, e) for s, e in best]
+        if not self.size:
+            return []
+        limits = self._summed(ids, weights, self.cells, self.block, self.maxima, -(-self.size // BLOCK))
+        dense = np.zeros(len(self.starts) - 1)
+        dense[ids] = weights
+        scores = np.zeros(self.size)
+
+        def score(blocks: np.ndarray) -> None:
+            some = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            some = some[some < self.size]
+            sizes = self.bounds[some + 1] - self.bounds[some]
+            at = _ranges(self.bounds[some], sizes)
+            scores[some] = np.add.reduceat(dense[self.term[at]] * self.weight[at], np.cumsum(sizes) - sizes)
+
+        order = np.argsort(-limits, kind="stable")
+        score(order[:FIRST_BLOCKS])
+        least = np.partition(scores, -k)[-k] if self.size >= k else 0.0
+        rest = order[FIRST_BLOCKS:]
+        rest = rest[(limits[rest] > 0) & (limits[rest] + 1e-9 >= least)]
+        if len(rest) * BLOCK * len(self.term) / self.size > 2 * (self.starts[ids + 1] - self.starts[ids]).sum():
+            scores = self._summed(ids, weights, self.starts, self.entry, self.by_term, self.size)  # the lists of the terms are shorter
+        elif len(rest):
+            score(rest)
+        scores = np.round(scores, 12)
+        best = np.flatnonzero((scores > 0) & (scores >= (np.partition(scores, -k)[-k] if self.size >= k else 0.0)))
+        best = best[np.lexsort((self.example[best], -scores[best]))][:k]
+        return [(float(scores[e]), int(e)) for e in best]
 
 
 @dataclass
@@ -163,19 +204,21 @@ class Classifier:
         counts = self.vectors.counts(text)
         if not counts:
             return self.without_terms, []
-        found = self.memo.get(counts)
+        ids, weights = self.vectors.unit(counts)
+        key = xxhash.xxh3_128_digest(ids.tobytes() + weights.tobytes())
+        found = self.memo.get(key)
         if found is None:
-            near = self.index.nearest(*self.vectors.unit(counts), NEIGHBOURS)
+            near = self.index.nearest(ids, weights, NEIGHBOURS)
             votes = np.array([0.5 * (1 - self.prior), 0.5 * self.prior])
             for cosine, entry in near:
                 votes = votes + self.index.votes[entry] * cosine**3 / (0.05 + 1 - min(1.0, cosine))
             found = float(votes[1] / votes.sum()), [int(self.index.example[e]) for _, e in near[:3]]
             if len(self.memo) < 100_000:
-                self.memo[counts] = found
+                self.memo[key] = found
         return found
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Column | None = None, per_class: int = 3000, most_terms: int = 1024) -> Classifier:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Column | None = None, per_class: int = 3000) -> Classifier:
     """Fit on a sample of at most 2 x ``per_class`` rows of ``labels`` (doc_id, ``label``) that satisfy ``train``."""
     rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(F.lit(True) if train is None else train).select("doc_id", F.col(label).cast("int").alias("y"))
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -192,30 +235,34 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Colum
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     prior = (n1 + 1) / (n0 + n1 + 2)
     stands = {y: sizes[y] / n for y, n in taken.items()}
-    chosen = discriminating_terms(examples, (taken[0], taken[1]), most_terms) if len(taken) == 2 else []
+    terms, seen = term_counts(examples) if len(taken) == 2 else ([], np.zeros((2, 0)))
     total = n0 + n1
-    idf = np.array([np.log((1 + total) / (1 + d0 * stands[0] + d1 * stands[1])) + 1 for _, d0, d1 in chosen])
-    vectors = Vectors({t: i for i, (t, _, _) in enumerate(chosen)}, idf)
+    idf = np.log((1 + total) / (1 + sum(seen[y] * stands[y] for y in taken))) + 1
+    if terms:
+        idf *= evidence(seen, np.array([taken[0], taken[1]], float))
+    vectors = Vectors({t: i for i, t in enumerate(terms)}, idf)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [vectors.counts(t or "") for t in batch.column(2).to_pylist()]
-            pairs = [[x for pair in c for x in pair] for c in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pairs, pa.list_(pa.int64()))], ["doc_id", "y", "pairs"])
+            found = [sorted(vectors.counts(t or "").items()) for t in batch.column(2).to_pylist()]
+            lists = [pa.array([[p[k] for p in c] for c in found], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["doc_id", "y", "terms", "times"])
 
-    entries: dict[tuple, tuple[float, float, int]] = {}
+    entries: dict[bytes, tuple[tuple[np.ndarray, np.ndarray], tuple[float, float, int]]] = {}
     plain = [prior, 1.0]  # label 1 and all, among examples without terms
-    counted = map_arrow(examples.select("doc_id", "y", "text"), count, "doc_id long, y int, pairs array<long>")
-    for r in counted.orderBy("doc_id", "y").collect() if chosen else []:  # 2 x per_class rows at most
-        counts = tuple(zip(r["pairs"][0::2], r["pairs"][1::2], strict=True))
-        weight = stands[r["y"]]
-        if not counts:
-            plain = [plain[0] + weight * r["y"], plain[1] + weight]
-            continue
-        v0, v1, first = entries.get(counts, (0.0, 0.0, r["doc_id"]))
-        entries[counts] = (v0 + weight * (1 - r["y"]), v1 + weight * r["y"], min(first, r["doc_id"]))
+    counted = map_arrow(examples.select("doc_id", "y", "text"), count, "doc_id long, y int, terms array<int>, times array<int>")
+    for batch in counted.toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")]).to_batches() if terms else []:  # 2 x per_class rows at most
+        for doc_id, y, ids, times in zip(*(batch.column(i) for i in range(4)), strict=True):
+            doc_id, y, ids, times = doc_id.as_py(), y.as_py(), ids.values.to_numpy(), times.values.to_numpy()
+            weight = stands[y]
+            if not len(ids):
+                plain = [plain[0] + weight * y, plain[1] + weight]
+                continue
+            key = xxhash.xxh3_128_digest(ids.tobytes() + times.tobytes())
+            unit, (v0, v1, first) = entries.get(key) or (vectors.unit(dict(zip(ids.tolist(), times.tolist(), strict=True))), (0.0, 0.0, doc_id))
+            entries[key] = unit, (v0 + weight * (1 - y), v1 + weight * y, min(first, doc_id))
     vectors.seen.clear()
-    return Classifier(vectors, BlockMaxIndex.of(vectors, entries), plain[0] / plain[1], prior)
+    return Classifier(vectors, BlockMaxIndex.of_units(len(terms), list(entries.values())), plain[0] / plain[1], prior)
 
 
 def scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Column | None = None, per_class: int = 3000) -> DataFrame:
