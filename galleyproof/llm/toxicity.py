@@ -11,7 +11,7 @@ nearest entries by cosine are exact. Their votes are weighted by distance and by
 labelled rows a sampled example stands for, which keeps scores calibrated.
 
 The examples are a bounded sample: of each class, the ``per_class`` training rows with the
-smallest hash of doc_id. The vocabulary and the index follow from that bound, so both can
+smallest hash of doc_id, each with its own weight whatever it shares with others. The vocabulary and the index follow from that bound, so both can
 be sent to every task; every document is scored, whole. A text without any term of the
 vocabulary (null and empty ones too) gets the share of label 1 among such examples.
 Without examples of both classes, every score is the smoothed share of label 1. Ties of
@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galleyproof.llm.common import materialise, text_chunks
@@ -225,11 +225,6 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Colum
     order = (F.xxhash64("doc_id"), "doc_id")
     sample = rows.where("y = 0").orderBy(*order).limit(per_class).unionAll(rows.where("y = 1").orderBy(*order).limit(per_class))
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    # copies would vote together and make their own words look telling: texts of one class that begin or end alike count once
-    words = F.split(F.lower(F.trim(F.coalesce("text", F.lit("")))), r"\s+")
-    for edge in (F.slice(words, 1, 6), F.slice(F.reverse(words), 1, 6)):
-        once = Window.partitionBy("y", F.xxhash64(edge)).orderBy(F.xxhash64("doc_id"), "doc_id")
-        found = found.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
     examples = materialise(found, "examples")
     taken = {r["y"]: r["n"] for r in examples.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)

@@ -20,3 +20,15 @@ def test_rare_words_are_terms(spark, examples):
     found = {r["doc_id"]: r for r in toxicity.scores(docs.unionAll(asked), labels).collect()}
     assert len(found) == 27 and found[500]["evidence"][:1] == [101] and found[501]["evidence"][:1] == [2]
     assert found[500]["score"] > 0.5 > found[501]["score"] and found[502]["evidence"] == []
+
+
+def test_examples_that_begin_or_end_alike_all_count(spark, examples):
+    docs, labels = examples
+    opening, closing = "one two three four five six", "seven eight nine ten eleven twelve"
+    more = [(200, f"{opening} ghastly wretch"), (201, f"{opening} horrid beast"), (202, f"loathsome creature {closing}"), (203, f"vicious brute {closing}"), (204, f"vicious brute {closing}")]
+    texts = docs.unionAll(spark.createDataFrame(more, "doc_id long, text string"))
+    marks = labels.unionAll(spark.createDataFrame([(i, 1) for i, _ in more], "doc_id long, toxic int"))
+    model = toxicity.learn(texts, marks)
+    votes = {int(e): tuple(v) for e, v in zip(model.index.example, model.index.votes, strict=True)}
+    assert len(votes) == 28 and votes[203] == (0.0, 2.0) and 204 not in votes
+    assert [model.classify(t)[1][0] for _, t in more] == [200, 201, 202, 203, 203]
