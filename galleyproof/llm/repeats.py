@@ -4,9 +4,10 @@ Each document is cut into units: lines, and within a line its sentences, so that
 passage is found inside other text as well as on lines of its own. Units are normalised
 (lower case, single spaces), hashed to 128 bits and grouped over the corpus; the unit of
 the smallest doc_id, and there the first, stays. Neighbouring units that are later
-occurrences form one span, and spans of at least ``min_words`` words are removed; shorter
-ones are stock phrases that say nothing about copying. Spans keep their offsets (code
-points) in the original text.
+occurrences form one span, and every span is removed, however short; ``min_words`` leaves
+out shorter ones on request. Spans keep their offsets (code points) in the original text.
+A repeated stretch whose edges run into unlike text within a sentence is found but for
+those sentences.
 
 Null and empty texts have no units. A document that repeats itself keeps the first
 occurrence. Ties of equal doc_ids cannot be ranked and keep both copies. Rows without
@@ -57,7 +58,7 @@ def _hash_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(again, pa.bool_())], ["h1", "h2", "doc_id", "unit", "start", "end", "words", "again"])
 
 
-def repeated_spans(docs: DataFrame, min_words: int = 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = 1) -> DataFrame:
     """(doc_id, start, end, n_words, first_doc_id): spans of ``docs`` (doc_id, text) to remove.
 
     first_doc_id: the smallest document that holds the first unit of the span.

@@ -2,7 +2,7 @@
 
 import pytest
 
-from galleyproof.llm import toxicity
+from galleyproof.llm import repeats, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -32,3 +32,11 @@ def test_examples_that_begin_or_end_alike_all_count(spark, examples):
     votes = {int(e): tuple(v) for e, v in zip(model.index.example, model.index.votes, strict=True)}
     assert len(votes) == 28 and votes[203] == (0.0, 2.0) and 204 not in votes
     assert [model.classify(t)[1][0] for _, t in more] == [200, 201, 202, 203, 203]
+
+
+def test_short_repeats_are_reported(spark):
+    texts = {1: "Own start.\nA short line here\nOwn end one.", 2: "Other start. So it is. a  SHORT line here", 3: "So it is. So it is.\nMore"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = sorted((s["doc_id"], texts[s["doc_id"]][s["start"] : s["end"]], s["n_words"], s["first_doc_id"]) for s in repeats.repeated_spans(docs).collect())
+    assert found == [(2, "a  SHORT line here", 4, 1), (3, "So it is. So it is.", 6, 2)]
+    assert {s["doc_id"] for s in repeats.repeated_spans(docs, min_words=5).collect()} == {3}
