@@ -3,9 +3,11 @@
 A page is read once as a list of blocks (headings, paragraphs, list items, cells ...), each
 with its tag path from the root and its text. For every path, the text length and the
 punctuation of all its blocks give a ratio per block, lowered by the share of link text.
+The length counts up to a bound, so that no long block raises the bar for the others.
 Ratios are smoothed over neighbouring blocks and fused with those of the path; paths whose
-mean reaches a share of the page's best are content. A heading belongs to the content
-block after it. What pages mark as menus, headers, footers, sidebars, notices, adverts,
+mean reaches a share of the page's best are content, and so is all else within the article
+or main element of such a path, or within its innermost container but for blocks that are
+links only. A heading belongs to the content block after it. What pages mark as menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles or comments, by element or by class, id or role, never counts.
 
 Null and empty pages, and pages without content, give empty text. Broken markup is read
@@ -32,6 +34,8 @@ from galleyproof.session import map_arrow
 LEAST_SHARE = 0.08
 #: Weights of a block's neighbours in smoothing, nearest first.
 SMOOTH = (0.4, 0.2, 0.1)
+#: Characters of a block beyond which its length says no more.
+LONG_BLOCK = 300
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -49,6 +53,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY_BLOCKS = frozenset(["p"])
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Elements that hold the blocks of one part of a page.
+CONTAINERS = frozenset("article main section div".split())
 #: Never judged by class or id.
 TRUSTED = frozenset("html body main article p".split()) | HEADINGS
 #: Words of classes, ids and roles that mark what is not the article.
@@ -65,6 +71,8 @@ class Block:
     text: str
     linked: int  #: characters within links
     heading: bool
+    inside: tuple[int, ...]  #: the open elements that group blocks, outermost first, by number
+    article: int  #: the number of the outermost article or main element that is open; 0: none
 
 
 @dataclass
@@ -72,6 +80,7 @@ class _Open:
     name: str
     label: str
     dropped: bool
+    number: int = 0
 
 
 def _attributes(attrs: str) -> dict[str, str]:
@@ -94,7 +103,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack = [_Open("", "", False)]
     pieces: list[str] = []
-    linked = anchors = 0
+    linked = anchors = opened = 0
 
     def end_block() -> None:
         nonlocal linked
@@ -102,7 +111,9 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(pieces).split())
             if text:
                 path = "/".join(e.label for e in stack if e.name not in INLINE)
-                out.append(Block(path, text, min(linked, len(text)), any(e.name in HEADINGS for e in stack)))
+                inside = tuple(e.number for e in stack if e.name in CONTAINERS)
+                article = next((e.number for e in stack if e.name in ("article", "main")), 0)
+                out.append(Block(path, text, min(linked, len(text)), any(e.name in HEADINGS for e in stack), inside, article))
             pieces.clear()
         linked = 0
 
@@ -159,7 +170,8 @@ def blocks(page: str) -> list[Block]:
             within = any(e.name in ("article", "main") for e in stack)
             group = found.get("class", "").split()
             label = name + ("." + group[0] if group else "")
-            stack.append(_Open(name, label, _dropped(name, found, within)))
+            opened += 1
+            stack.append(_Open(name, label, _dropped(name, found, within), opened))
         anchors += name == "a"
     text(page[at:])
     close_to(1)
@@ -169,14 +181,15 @@ def blocks(page: str) -> list[Block]:
 
 def path_scores(found: list[Block]) -> list[float]:
     """The smoothed and fused tag-path ratio of each block."""
-    totals: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
+    totals: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0, 0.0])
     for b in found:
         t = totals[b.path]
         t[0] += len(b.text)
+        t[4] += min(len(b.text), LONG_BLOCK)
         t[1] += sum(b.text.count(c) for c in ".,;:!?")
         t[2] += b.linked
         t[3] += 1
-    ratio = {p: (chars / n) * (0.5 + min(1.0, 20 * marks / max(chars, 1.0))) * (1 - links / max(chars, 1.0)) for p, (chars, marks, links, n) in totals.items()}
+    ratio = {p: (counted / n) * (0.5 + min(1.0, 20 * marks / max(chars, 1.0))) * (1 - links / max(chars, 1.0)) for p, (chars, marks, links, n, counted) in totals.items()}
     raw = [ratio[b.path] for b in found]
     smooth = []
     for i in range(len(raw)):
@@ -200,6 +213,10 @@ def main_text(page: str) -> str:
     means = {p: sum(s) / len(s) for p, s in by_path.items()}
     least = LEAST_SHARE * max(means.values())
     content = [means[b.path] >= least and means[b.path] > 0 for b in found]
+    articles = {b.article for b, c in zip(found, content, strict=True) if c and b.article}
+    holders = {b.inside[-1] for b, c in zip(found, content, strict=True) if c and b.inside}
+    for i, b in enumerate(found):  # what lies with content is content
+        content[i] = content[i] or b.article in articles or not b.heading and b.linked < len(b.text) and not holders.isdisjoint(b.inside)
     for i in range(len(found) - 2, -1, -1):  # a heading goes with what it heads
         if found[i].heading and content[i + 1]:
             content[i] = True

@@ -2,7 +2,7 @@
 
 import pytest
 
-from galleyproof.llm import repeats, toxicity
+from galleyproof.llm import html_text, repeats, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -40,3 +40,14 @@ def test_short_repeats_are_reported(spark):
     found = sorted((s["doc_id"], texts[s["doc_id"]][s["start"] : s["end"]], s["n_words"], s["first_doc_id"]) for s in repeats.repeated_spans(docs).collect())
     assert found == [(2, "a  SHORT line here", 4, 1), (3, "So it is. So it is.", 6, 2)]
     assert {s["doc_id"] for s in repeats.repeated_spans(docs, min_words=5).collect()} == {3}
+
+
+def test_long_blocks_do_not_displace_the_others():
+    parts = [f"Word, and more of it {'x' * 560} {i}." for i in range(16)]
+    quote = "Quoted text, long. " * 1000
+    items, cells = [f"Item number {i} of a list" for i in range(8)], [f"cell no {i:04d}" for i in range(20)]
+    tags = "".join(f"<p>{t}</p>" for t in parts) + f"<blockquote><p>{quote}</p></blockquote><ul>" + "".join(f"<li>{t}</li>" for t in items)
+    tags += "</ul><table><tr>" + "".join(f"<td>{t}</td>" for t in cells) + "</tr></table>"
+    for name in ("article", "div"):
+        text = html_text.main_text(f"<body><{name}>{tags}</{name}><div><a href=/>Elsewhere</a></div></body>")
+        assert text.split("\n\n") == [*parts, quote.strip(), *items, *cells]
