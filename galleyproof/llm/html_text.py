@@ -8,7 +8,10 @@ Ratios are smoothed over neighbouring blocks and fused with those of the path; p
 mean reaches a share of the page's best are content, and so is all else within the article
 or main element of such a path, or within its innermost container but for blocks that are
 links only. A heading belongs to the content block after it. What pages mark as menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles or comments, by element or by class, id or role, never counts.
+forms, scripts, styles or comments, by element or by class, id or role, never counts. An
+element that only its class, id or role marks still counts if it holds an article or main
+element or most of the text and no such element with text lies outside what is marked, or
+if it holds both.
 
 Null and empty pages, and pages without content, give empty text. Broken markup is read
 as browsers do where that matters here: open elements are closed by their parents,
@@ -44,7 +47,10 @@ _TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.I | re.S,
 )
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_ASKED = frozenset(["class", "id", "role", "hidden", "aria-hidden", "style"])
+#: Words of a class or id that say what the element has or lacks beside it, not what it is.
+BESIDE = frozenset("has with no without".split())
 
 #: Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -81,25 +87,58 @@ class _Open:
     label: str
     dropped: bool
     number: int = 0
+    marked: int = 0  #: the number of the marked element that alone drops this one
 
 
 def _attributes(attrs: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs.strip() else {}
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs) if attrs.strip() else ():
+        if m[1].lower() in _ASKED:
+            found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
 
 
 def _dropped(name: str, found: dict[str, str], within_article: bool) -> bool:
+    """By its element or because it is hidden."""
     if name in DROPPED or name == "header" and not within_article:
         return True
-    if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return True
-    if name in TRUSTED or not found:
-        return False
-    words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join(found.get(k, "") for k in ("class", "id", "role"))).lower())
-    return not MARKS.isdisjoint(words)
+    return "hidden" in found or found.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I))
+
+
+def _marked(found: dict[str, str]) -> bool:
+    """By its class, id or role."""
+    for token in " ".join(found.get(k, "") for k in ("class", "id", "role")).split():
+        words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+        if not MARKS.isdisjoint(words) and BESIDE.isdisjoint(words):
+            return True
+    return False
+
+
+@dataclass
+class _Marked:
+    """What lies in an element that its class, id or role marks."""
+
+    chars: int = 0
+    article: bool = False
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks outside what never counts, in order."""
+    spared: set[int] = set()
+    while True:
+        out, marked = _read(page, spared)
+        rest = sum(len(b.text) for b in out)
+        total = rest + sum(m.chars for m in marked.values())
+        outside = any(b.article for b in out)
+        more = {k for k, m in marked.items() if m.chars and (m.article + (2 * m.chars > total) > outside)}
+        if not more:
+            return out
+        spared |= more
+
+
+def _read(page: str, spared: set[int]) -> tuple[list[Block], dict[int, _Marked]]:
+    """The blocks, and what is marked by class, id or role, by the element's number, but for the elements ``spared``."""
+    marked: dict[int, _Marked] = {}
     out: list[Block] = []
     stack = [_Open("", "", False)]
     pieces: list[str] = []
@@ -130,6 +169,8 @@ def blocks(page: str) -> list[Block]:
             plain = unescape(raw)
             pieces.append(plain)
             linked += len(plain) if anchors else 0
+        elif raw and stack[-1].marked:
+            marked[stack[-1].marked].chars += len(" ".join(raw.split()))
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -163,20 +204,26 @@ def blocks(page: str) -> list[Block]:
                     break
             end_block()
         parent = stack[-1]
-        if parent.dropped:
+        opened += 1
+        if parent.dropped and not parent.marked:
             stack.append(_Open(name, name, True))
         else:
             found = _attributes(m["attrs"])
-            within = any(e.name in ("article", "main") for e in stack)
+            hard = _dropped(name, found, any(e.name in ("article", "main") for e in stack))
+            own = name not in TRUSTED and bool(found) and opened not in spared and _marked(found)
             group = found.get("class", "").split()
             label = name + ("." + group[0] if group else "")
-            opened += 1
-            stack.append(_Open(name, label, _dropped(name, found, within), opened))
+            if parent.marked and name in ("article", "main") and not hard and not _marked(found):
+                marked[parent.marked].article = True
+            inside = 0 if hard else parent.marked or opened * own
+            if inside == opened:
+                marked[opened] = _Marked()
+            stack.append(_Open(name, label, hard or bool(inside), opened, inside))
         anchors += name == "a"
     text(page[at:])
     close_to(1)
     end_block()
-    return out
+    return out, marked
 
 
 def path_scores(found: list[Block]) -> list[float]:

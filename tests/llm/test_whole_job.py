@@ -51,3 +51,17 @@ def test_long_blocks_do_not_displace_the_others():
     for name in ("article", "div"):
         text = html_text.main_text(f"<body><{name}>{tags}</{name}><div><a href=/>Elsewhere</a></div></body>")
         assert text.split("\n\n") == [*parts, quote.strip(), *items, *cells]
+
+
+def test_marks_do_not_drop_the_article():
+    body = "<h2>Title</h2><p>The first paragraph, of some length.</p><p>The second one, of some length as well.</p>"
+    want = "Title\n\nThe first paragraph, of some length.\n\nThe second one, of some length as well."
+    for opening in ('<div class="layout has-sidebar">', '<div id="content-sidebar-wrap">', '<section class="legal">', "<div class=no-comments>"):
+        for inner in (body, f"<article>{body}</article>", f"<main><article>{body}</article></main>"):
+            close = "</section>" if "section" in opening else "</div>"
+            page = f'<body><div>Top line</div>{opening}{inner}<div class="sidebar"><p>Other things, of no use.</p></div>{close}</body>'
+            assert html_text.main_text(page).removeprefix("Top line\n\n") == want
+    links = '<p>See <a href="/hidden-valley">the valley</a> there, it is fine.</p><p title="a hidden gem">A gem of a place, really.</p><p data-hidden="false">Plain text, in sight.</p>'
+    assert html_text.main_text(links) == "See the valley there, it is fine.\n\nA gem of a place, really.\n\nPlain text, in sight."
+    comments = f'<body><article>{body}</article><div class="comments"><article><p>{"I disagree, strongly. " * 3}</p></article></div></body>'
+    assert html_text.main_text(comments) == want and html_text.main_text(f"<div hidden>{body}") == ""
