@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galleyproof.llm.common import mix64, numbers, text_chunks
+from galleyproof.llm.common import materialise, mix64, numbers, text_chunks
 from galleyproof.llm.words import LETTERS, split_words
 from galleyproof.session import map_arrow
 
@@ -222,4 +222,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.25, repeats: i
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, share: float = 0.25) -> DataFrame:
     """``docs`` without the documents that hold an item."""
-    return docs.join(leaks(docs, benchmark, share).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    placed = docs.where("doc_id is not null").join(leaks(docs, benchmark, share).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    # rows without doc_id are found again by a number of their own
+    rest = materialise(docs.where("doc_id is null").withColumn("_row", F.monotonically_increasing_id()), "without-id")
+    found = leaks(rest.select(F.col("_row").alias("doc_id"), "text"), benchmark, share).select(F.col("doc_id").alias("_row")).distinct()
+    return placed.unionAll(rest.join(found, "_row", "left_anti").select(*docs.columns))

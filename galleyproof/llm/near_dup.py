@@ -15,7 +15,8 @@ probability of 1e-4, and in a refined band alone with 1e-3; both fall fast above
 
 Nulls and texts without words have no shingles, link with nothing and are kept. Exact
 copies of a word sequence are one node of the graph, whatever their number; a tie goes
-to the smallest doc_id. Rows without doc_id are left out. Extra columns are not read.
+to the smallest doc_id. Rows without doc_id link with nothing, have no component_id and
+are kept. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -111,7 +112,7 @@ def _lists(rows: np.ndarray, full: np.ndarray) -> pa.Array:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, digest of the word sequence, n_shingles, bands, sketch, parity) of each document."""
-    return map_arrow(docs.where("doc_id is not null").select("doc_id", "text"), _sign, _SIGNATURE)
+    return map_arrow(docs.select("doc_id", "text"), _sign, _SIGNATURE)
 
 
 def _differing_bits(a: str, b: str, bits: int) -> F.Column:
@@ -208,14 +209,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     included, and ``kept`` marks the documents that have their own.
     """
     signed = materialise(signatures(docs), "signatures")
-    groups = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
+    named = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
+    groups = signed.where(named).groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     nodes = materialise(signed.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "bands", *_OWN), "nodes")
     keys = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
     members = materialise(keys.join(shared.select("key", "first"), "key").select("key", "node", "first"), "members")
-    named = nodes.select(F.col("doc_id").alias("node"), *_OWN)
+    sides = nodes.select(F.col("doc_id").alias("node"), *_OWN)
     stars = members.where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
-    stars = materialise(stars.join(_side(named, "v", "b"), "v").join(_side(named, "u", "a"), "u").where(_plausible(threshold)).select("u", "v"), "stars")
+    stars = materialise(stars.join(_side(sides, "v", "b"), "v").join(_side(sides, "u", "a"), "u").where(_plausible(threshold)).select("u", "v"), "stars")
     links = _confirmed(stars, docs, threshold)
     found = materialise(components(links), "components")
     placed = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -227,6 +229,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
             found = materialise(components(links.unionAll(more)), "components")
     classes = materialise(groups.join(found, "node", "left").select("digest", "copies", F.coalesce("component", "node").alias("component_id")), "classes")
     columns = ("doc_id", "n_shingles", "component_id")
-    placed = join_groups(signed.where("digest is not null").select("doc_id", "digest", "n_shingles"), classes, ["digest"], "copies").select(*columns)
-    alone = signed.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return placed.unionAll(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    placed = join_groups(signed.where(named).select("doc_id", "digest", "n_shingles"), classes, ["digest"], "copies").select(*columns)
+    alone = signed.where(~named).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return placed.unionAll(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

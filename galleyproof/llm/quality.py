@@ -138,8 +138,10 @@ def fit(measured: DataFrame, labels: DataFrame, label: str = "quality", train: C
 def scores(docs: DataFrame, labels: DataFrame, label: str = "quality", train: Column | None = None) -> DataFrame:
     """(doc_id, score) of each row of ``docs`` (doc_id, text): the probability of label 1."""
     measured = materialise(document_statistics(docs), "statistics")
-    model = fit(measured, labels, label, train)
+    return _scored(measured, fit(measured, labels, label, train))
 
+
+def _scored(measured: DataFrame, model: Discriminant) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, _D)
@@ -149,6 +151,17 @@ def scores(docs: DataFrame, labels: DataFrame, label: str = "quality", train: Co
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, train: Column | None = None, least: float = 0.3) -> DataFrame:
-    """``docs`` without the documents that score below ``least``; rows without doc_id have no decision and go."""
-    rejected = scores(docs.where("doc_id is not null"), labels, train=train).where(F.col("score") < least).select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the documents that score below ``least``; rows without doc_id are judged where they stand."""
+    measured = materialise(document_statistics(docs.where("doc_id is not null")), "statistics")
+    model = fit(measured, labels, train=train)
+    rejected = _scored(measured, model).where(F.col("score") < least).select("doc_id").distinct()
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start = 0
+            for ids, texts in text_chunks([batch]):
+                yield batch.slice(start, len(ids)).filter(pa.array(model.score(statistics(texts)) >= least))
+                start += len(ids)
+
+    placed = docs.where("doc_id is not null").join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    return placed.unionAll(map_arrow(docs.where("doc_id is null"), keep, docs.schema))

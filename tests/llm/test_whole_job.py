@@ -1,8 +1,9 @@
 """Cases that cuts would lose: whole vocabularies, all examples, short repeats, long and short blocks, rows without id."""
 
+import corpus_pipeline
 import pytest
 
-from galleyproof.llm import html_text, repeats, toxicity
+from galleyproof.llm import html_text, near_dup, repeats, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -65,3 +66,23 @@ def test_marks_do_not_drop_the_article():
     assert html_text.main_text(links) == "See the valley there, it is fine.\n\nA gem of a place, really.\n\nPlain text, in sight."
     comments = f'<body><article>{body}</article><div class="comments"><article><p>{"I disagree, strongly. " * 3}</p></article></div></body>'
     assert html_text.main_text(comments) == want and html_text.main_text(f"<div hidden>{body}") == ""
+
+
+def test_rows_without_id_are_decided(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    label = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_clean(spark, corpus_pipeline.keep_good(spark, docs, sf), sf).select("doc_id").collect()}
+    fine = next(k for k in sorted(label) if label[k] and k in kept)
+    poor = next(k for k in sorted(label) if not label[k] and k not in kept)
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    bare = docs.where(f"doc_id in ({fine}, {poor})").selectExpr("cast(null as long) as doc_id", *docs.columns[1:])
+    leaky = docs.where(f"doc_id = {fine}").selectExpr("cast(null as long) as doc_id", f"concat(text, '\\n', '{item}') as text", *docs.columns[2:])
+    rows = docs.unionAll(bare).unionAll(leaky)
+    found = near_dup.near_duplicates(rows.where("doc_id is null")).collect()
+    assert [(r["doc_id"], r["component_id"], r["kept"]) for r in found] == [(None, None, True)] * 3
+    assert corpus_pipeline.keep_good(spark, rows, sf).where("doc_id is null").count() == 2
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        rows = stage(spark, rows, sf)
+    texts = [r["text"] for r in rows.where("doc_id is null").collect()]
+    assert texts == [r["text"] for r in docs.where(f"doc_id = {fine}").collect()]
