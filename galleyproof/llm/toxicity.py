@@ -4,18 +4,22 @@ Texts are TF-IDF vectors over all words and word beginnings of the examples. A t
 weight also grows with how surely it tells the classes apart (by the G statistic on the
 examples) and is never zero, so that no term is left out and the many words that say
 nothing do not drown the few that do. Examples with equal vectors are one entry with the
-weight of its members in each class. Entries lie in blocks, with the largest weight of
-each term in each block. A query bounds every block by these and scores the blocks of the
-highest bounds; blocks that could reach the k best so far are then all scored, so the k
-nearest entries by cosine are exact. Their votes are weighted by distance and by how many
+weight of its members in each class. Entries lie in blocks. Postings of the terms that few
+entries have are lists, those of the others a table with the largest weight of each term
+in each block. A query sums its lists, bounds every block by that and the block maxima,
+and scores the blocks of the highest bounds; blocks that could reach the k best so far are
+then all scored. Sums in single precision only choose: whatever comes near the k best is
+computed anew in double precision, so the k nearest entries by cosine are exact. Texts are
+searched for in batches. The votes of the nearest are weighted by distance and by how many
 labelled rows a sampled example stands for, which keeps scores calibrated.
 
 The examples are a bounded sample: of each class, the ``per_class`` training rows with the
-smallest hash of doc_id, each with its own weight whatever it shares with others. The vocabulary and the index follow from that bound, so both can
-be sent to every task; every document is scored, whole. A text without any term of the
-vocabulary (null and empty ones too) gets the share of label 1 among such examples.
-Without examples of both classes, every score is the smoothed share of label 1. Ties of
-cosine go to the smaller example. Extra columns are not read.
+smallest hash of doc_id, each with its own weight whatever it shares with others. The
+vocabulary and the index follow from that bound, so both can be sent to every task; every
+document is scored, whole. A text without any term of the vocabulary (null and empty ones
+too) gets the share of label 1 among such examples. Without examples of both classes,
+every score is the smoothed share of label 1. Ties of cosine go to the smaller example.
+Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +47,8 @@ BLOCK, NEIGHBOURS = 32, 15
 HALF_G = 16.0
 #: Blocks scored before the bounds of the others are judged.
 FIRST_BLOCKS = 4
+#: Terms whose postings are a table, texts searched for together, and how far sums of single precision may be off.
+COMMON, TOGETHER, ROUNDING = 2048, 128, 1e-4
 _NEAREST = "doc_id long, score double, evidence array<long>"
 
 
@@ -85,20 +92,57 @@ class Vectors:
 
     index: dict[str, int]
     idf: np.ndarray  #: with the evidence of each term
-    seen: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    slots: dict[str, int] = field(default_factory=dict)  #: words met so far; those in slot 0 have no terms
+    bounds: np.ndarray = field(default_factory=lambda: np.zeros(2, np.int64))  #: bounds of the terms of each slot
+    of_slot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+
+    def forget(self) -> None:
+        self.slots, self.bounds, self.of_slot = {}, np.zeros(2, np.int64), np.zeros(0, np.int64)
+
+    def counts_of_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, occurrences), by text and term."""
+        if len(self.slots) > 300_000:
+            self.forget()
+        fresh, new = [], len(self.bounds) - 1
+        words: list[int] = []
+        times: list[int] = []
+        sizes = []
+        for text in texts:
+            found = words_of(text)
+            sizes.append(len(found))
+            times.extend(found.values())
+            for word in found:
+                slot = self.slots.get(word)
+                if slot is None:
+                    ids = [self.index[t] for t in terms_of(word) if t in self.index]
+                    slot = new if ids else 0
+                    if ids:
+                        fresh.append(ids)
+                        new += 1
+                    self.slots[word] = slot
+                words.append(slot)
+        if fresh:
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(x) for x in fresh])])
+            self.of_slot = np.concatenate([self.of_slot, *map(np.array, fresh)])
+        slot = np.array(words, np.int64)
+        each = self.bounds[slot + 1] - self.bounds[slot]
+        term = self.of_slot[_ranges(self.bounds[slot], each)]
+        text = np.repeat(np.repeat(np.arange(len(texts)), sizes), each)
+        key, place = np.unique(text * len(self.idf) + term, return_inverse=True)
+        total = np.bincount(place, weights=np.repeat(np.array(times, np.int64), each)).astype(np.int64)
+        return key // max(1, len(self.idf)), key % max(1, len(self.idf)), total
 
     def counts(self, text: str) -> dict[int, int]:
         """Occurrences of each term."""
-        total: dict[int, int] = {}
-        for word, n in words_of(text).items():
-            ids = self.seen.get(word)
-            if ids is None:
-                ids = tuple(self.index[t] for t in terms_of(word) if t in self.index)
-                if len(self.seen) < 300_000:  # a memo only
-                    self.seen[word] = ids
-            for i in ids:
-                total[i] = total.get(i, 0) + n
-        return total
+        _, term, times = self.counts_of_all([text])
+        return dict(zip(term.tolist(), times.tolist(), strict=True))
+
+    def units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, weight) of the texts' unit vectors."""
+        text, term, times = self.counts_of_all(texts)
+        weight = (1 + np.log(times)) * self.idf[term]
+        norm = np.sqrt(np.bincount(text, weights=weight * weight, minlength=len(texts)))
+        return text, term, weight / norm[text]
 
     def unit(self, counts: dict[int, int] | tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
         counts = dict(counts)
@@ -116,17 +160,16 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class BlockMaxIndex:
-    """Entries by descending main term in blocks; postings by entry and by term, and the cells (term, block) that have any."""
+    """Entries by descending main term in blocks, and their postings.
+
+    The postings of the ``COMMON`` terms that most entries have are held as a table, with
+    the largest weight of each in each block; those of the others as lists.
+    """
 
+    terms: int
     bounds: np.ndarray  #: bounds of the postings of each entry
     term: np.ndarray
     weight: np.ndarray
-    starts: np.ndarray  #: bounds of the postings of each term
-    entry: np.ndarray
-    by_term: np.ndarray  #: their weights
-    cells: np.ndarray  #: bounds of the cells of each term
-    block: np.ndarray
-    maxima: np.ndarray
     votes: np.ndarray  #: (entries, 2)
     example: np.ndarray  #: smallest doc_id of each entry
     size: int
@@ -143,53 +186,98 @@ class BlockMaxIndex:
         sizes = np.array([len(u[0][0]) for u in units], np.int64)
         term = np.concatenate([u[0][0] for u in units]).astype(np.int32) if units else np.zeros(0, np.int32)
         weight = np.concatenate([u[0][1] for u in units]).astype(np.float32) if units else np.zeros(0, np.float32)
-        entry = np.repeat(np.arange(n, dtype=np.int32), sizes)
-        order = np.argsort(term, kind="stable")
-        by_entry = term, weight
-        term, weight, entry = term[order], weight[order], entry[order]
-        place = np.arange(terms + 1)
-        block = entry // BLOCK
-        first = np.flatnonzero(np.diff(term, prepend=-1).astype(bool) | np.diff(block, prepend=-1).astype(bool))
-        maxima = np.maximum.reduceat(weight, first) if len(first) else weight
-        return cls(
-            np.concatenate([[0], np.cumsum(sizes)]), *by_entry, np.searchsorted(term, place), entry, weight, np.searchsorted(term[first], place), block[first], maxima,
-            np.array([u[1][:2] for u in units]).reshape(n, 2), np.array([u[1][2] for u in units], np.int64), n,
-        )
-
-    def _summed(self, ids: np.ndarray, weights: np.ndarray, starts: np.ndarray, place: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-        sizes = starts[ids + 1] - starts[ids]
-        at = _ranges(starts[ids], sizes)
-        return np.bincount(place[at], weights=np.repeat(weights, sizes) * values[at], minlength=n)
+        votes = np.array([u[1][:2] for u in units]).reshape(n, 2)
+        return cls(terms, np.concatenate([[0], np.cumsum(sizes)]), term, weight, votes, np.array([u[1][2] for u in units], np.int64), n)
+
+    @cached_property
+    def blocks(self) -> int:
+        return -(-self.size // BLOCK)
+
+    @cached_property
+    def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Postings by term: their bounds, entries and weights."""
+        order = np.argsort(self.term, kind="stable")
+        entry = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(self.bounds))
+        return np.searchsorted(self.term[order], np.arange(self.terms + 1)), entry[order], self.weight[order]
+
+    @cached_property
+    def place(self) -> np.ndarray:
+        """The row of each term in ``table``, or -1."""
+        starts, _, _ = self.lists
+        often = np.argsort(-np.diff(starts), kind="stable")[:COMMON]
+        place = np.full(self.terms, -1)
+        place[often] = np.arange(len(often))
+        return place
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        """Weights of the common terms: terms x entries."""
+        out = np.zeros((min(COMMON, self.terms), self.blocks * BLOCK), np.float32)
+        row = self.place[self.term]
+        entry = np.repeat(np.arange(self.size), np.diff(self.bounds))
+        out[row[row >= 0], entry[row >= 0]] = self.weight[row >= 0]
+        return out
+
+    @cached_property
+    def maxima(self) -> np.ndarray:
+        """The largest weight of each common term in each block."""
+        return self.table.reshape(len(self.table), self.blocks, BLOCK).max(axis=2)
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The ``k`` entries of the highest positive cosine: (cosine, entry), best first."""
+        return self.nearest_of_all(np.zeros(len(ids), np.int64), ids, weights, 1, k)[0]
+
+    def nearest_of_all(self, query: np.ndarray, ids: np.ndarray, weights: np.ndarray, n: int, k: int) -> list[list[tuple[float, int]]]:
+        """``nearest`` for ``n`` queries, whose terms are (query, ids, weights), by query."""
         if not self.size:
+            return [[] for _ in range(n)]
+        wide, row = self.blocks * BLOCK, self.place[ids]
+        asked = np.zeros((n, len(self.table)), np.float32)
+        asked[query[row >= 0], row[row >= 0]] = weights[row >= 0]
+        starts, entry, by_term = self.lists
+        rare = np.flatnonzero(row < 0)
+        sizes = starts[ids[rare] + 1] - starts[ids[rare]]
+        at = _ranges(starts[ids[rare]], sizes)
+        known = np.bincount(np.repeat(query[rare] * wide, sizes) + entry[at], weights=np.repeat(weights[rare], sizes) * by_term[at], minlength=n * wide)
+        known = known.astype(np.float32).reshape(n, wide)  # the part of the lists
+        limits = asked @ self.maxima + known.reshape(n, self.blocks, BLOCK).max(axis=2)
+        scores = np.full((n, self.blocks, BLOCK), -1, np.float32)
+
+        def score(wanted: np.ndarray) -> None:
+            if 2 * wanted.sum() > wanted.size:
+                scores[...] = (asked @ self.table + known).reshape(scores.shape)
+                return
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                some, own = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                scores[some, b] = asked[some] @ self.table[:, own] + known[some, own]
+
+        first = np.argpartition(-limits, min(FIRST_BLOCKS, self.blocks) - 1, axis=1)[:, :FIRST_BLOCKS]
+        wanted = np.zeros(limits.shape, bool)
+        np.put_along_axis(wanted, first, True, axis=1)
+        score(wanted)
+        flat = scores.reshape(n, wide)
+        kth = min(k, wide)
+        least = np.partition(flat, -kth, axis=1)[:, -kth]
+        wanted = ~wanted & (limits > 0) & (limits + ROUNDING >= least[:, None])
+        if wanted.any():
+            score(wanted)
+            least = np.partition(flat, -kth, axis=1)[:, -kth]
+        flat[:, self.size :] = -1
+        edges = np.searchsorted(query, np.arange(n + 1))
+        dense = np.zeros(self.terms)
+        return [self._exact(dense, ids[a:b], weights[a:b], np.flatnonzero((own > 0) & (own + ROUNDING >= low)), k) for a, b, own, low in zip(edges, edges[1:], flat, least)]
+
+    def _exact(self, dense: np.ndarray, ids: np.ndarray, weights: np.ndarray, some: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The best ``k`` of the entries ``some``; dense: zeros, for use here."""
+        if not len(some):
             return []
-        limits = self._summed(ids, weights, self.cells, self.block, self.maxima, -(-self.size // BLOCK))
-        dense = np.zeros(len(self.starts) - 1)
         dense[ids] = weights
-        scores = np.zeros(self.size)
-
-        def score(blocks: np.ndarray) -> None:
-            some = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            some = some[some < self.size]
-            sizes = self.bounds[some + 1] - self.bounds[some]
-            at = _ranges(self.bounds[some], sizes)
-            scores[some] = np.add.reduceat(dense[self.term[at]] * self.weight[at], np.cumsum(sizes) - sizes)
-
-        order = np.argsort(-limits, kind="stable")
-        score(order[:FIRST_BLOCKS])
-        least = np.partition(scores, -k)[-k] if self.size >= k else 0.0
-        rest = order[FIRST_BLOCKS:]
-        rest = rest[(limits[rest] > 0) & (limits[rest] + 1e-9 >= least)]
-        if len(rest) * BLOCK * len(self.term) / self.size > 2 * (self.starts[ids + 1] - self.starts[ids]).sum():
-            scores = self._summed(ids, weights, self.starts, self.entry, self.by_term, self.size)  # the lists of the terms are shorter
-        elif len(rest):
-            score(rest)
-        scores = np.round(scores, 12)
-        best = np.flatnonzero((scores > 0) & (scores >= (np.partition(scores, -k)[-k] if self.size >= k else 0.0)))
-        best = best[np.lexsort((self.example[best], -scores[best]))][:k]
-        return [(float(scores[e]), int(e)) for e in best]
+        sizes = self.bounds[some + 1] - self.bounds[some]
+        at = _ranges(self.bounds[some], sizes)
+        cosine = np.round(np.add.reduceat(dense[self.term[at]] * self.weight[at], np.cumsum(sizes) - sizes), 12)
+        dense[ids] = 0
+        best = np.lexsort((self.example[some], -cosine))[:k]
+        return [(float(cosine[e]), int(some[e])) for e in best if cosine[e] > 0]
 
 
 @dataclass
@@ -201,21 +289,30 @@ class Classifier:
     memo: dict = field(default_factory=dict)
 
     def classify(self, text: str) -> tuple[float, list[int]]:
-        counts = self.vectors.counts(text)
-        if not counts:
-            return self.without_terms, []
-        ids, weights = self.vectors.unit(counts)
-        key = xxhash.xxh3_128_digest(ids.tobytes() + weights.tobytes())
-        found = self.memo.get(key)
-        if found is None:
-            near = self.index.nearest(ids, weights, NEIGHBOURS)
-            votes = np.array([0.5 * (1 - self.prior), 0.5 * self.prior])
-            for cosine, entry in near:
-                votes = votes + self.index.votes[entry] * cosine**3 / (0.05 + 1 - min(1.0, cosine))
-            found = float(votes[1] / votes.sum()), [int(self.index.example[e]) for _, e in near[:3]]
-            if len(self.memo) < 100_000:
-                self.memo[key] = found
-        return found
+        return self.classify_all([text])[0]
+
+    def classify_all(self, texts: list[str]) -> list[tuple[float, list[int]]]:
+        """(score, doc_ids of the nearest examples) of each text; equal texts are searched for once."""
+        keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) for t in texts]
+        fresh = {key: t for key, t in zip(keys, texts, strict=True) if key not in self.memo}
+        known = {key: self.memo[key] for key in keys if key in self.memo}
+        waiting = list(fresh)
+        for at in range(0, len(waiting), TOGETHER):
+            some = waiting[at : at + TOGETHER]
+            query, ids, weights = self.vectors.units([fresh[key] for key in some])
+            found = self.index.nearest_of_all(query, ids, weights, len(some), NEIGHBOURS)
+            filled = np.bincount(query, minlength=len(some)) > 0
+            known.update((key, self._voted(near) if any_term else (self.without_terms, [])) for key, near, any_term in zip(some, found, filled, strict=True))
+        if len(self.memo) > 100_000:
+            self.memo.clear()
+        self.memo.update((key, known[key]) for key in waiting)
+        return [known[key] for key in keys]
+
+    def _voted(self, near: list[tuple[float, int]]) -> tuple[float, list[int]]:
+        votes = np.array([0.5 * (1 - self.prior), 0.5 * self.prior])
+        for cosine, entry in near:
+            votes = votes + self.index.votes[entry] * cosine**3 / (0.05 + 1 - min(1.0, cosine))
+        return float(votes[1] / votes.sum()), [int(self.index.example[e]) for _, e in near[:3]]
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Column | None = None, per_class: int = 3000) -> Classifier:
@@ -232,8 +329,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Colum
     stands = {y: sizes[y] / n for y, n in taken.items()}
     terms, seen = term_counts(examples) if len(taken) == 2 else ([], np.zeros((2, 0)))
     total = n0 + n1
-    idf = np.log((1 + total) / (1 + sum(seen[y] * stands[y] for y in taken))) + 1
+    idf = np.zeros(0)
     if terms:
+        idf = np.log((1 + total) / (1 + sum(seen[y] * stands[y] for y in taken))) + 1
         idf *= evidence(seen, np.array([taken[0], taken[1]], float))
     vectors = Vectors({t: i for i, t in enumerate(terms)}, idf)
 
@@ -256,7 +354,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Colum
             key = xxhash.xxh3_128_digest(ids.tobytes() + times.tobytes())
             unit, (v0, v1, first) = entries.get(key) or (vectors.unit(dict(zip(ids.tolist(), times.tolist(), strict=True))), (0.0, 0.0, doc_id))
             entries[key] = unit, (v0 + weight * (1 - y), v1 + weight * y, min(first, doc_id))
-    vectors.seen.clear()
+    vectors.forget()
     return Classifier(vectors, BlockMaxIndex.of_units(len(terms), list(entries.values())), plain[0] / plain[1], prior)
 
 
@@ -266,7 +364,7 @@ def scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Colu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_chunks(batches):
-            found = [model.classify(t.decode("utf-8", "replace")) for t in texts]
+            found = model.classify_all([t.decode("utf-8", "replace") for t in texts])
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
     return map_arrow(docs.select("doc_id", "text"), run, _NEAREST)
