@@ -5,12 +5,12 @@ weight also grows with how surely it tells the classes apart (by the G statistic
 examples) and is never zero, so that no term is left out and the many words that say
 nothing do not drown the few that do. Examples with equal vectors are one entry with the
 weight of its members in each class. Entries lie in blocks. Postings of the terms that few
-entries have are lists, those of the others a table with the largest weight of each term
-in each block. A query sums its lists, bounds every block by that and the block maxima,
-and scores the blocks of the highest bounds; blocks that could reach the k best so far are
-then all scored. Sums in single precision only choose: whatever comes near the k best is
-computed anew in double precision, so the k nearest entries by cosine are exact. Texts are
-searched for in batches. The votes of the nearest are weighted by distance and by how many
+entries have are lists; those of the others are tables, apart for terms of large and small
+weights. A query sums its lists and its heavy terms; what its light terms can add is bounded
+by their largest weights in each block and by the norms over them. Entries that could reach
+the k best so far are then scored. Sums of less than double precision only choose: whatever
+comes near the k best is computed anew in double precision, so the k nearest entries by
+cosine are exact. The votes of the nearest are weighted by distance and by how many
 labelled rows a sampled example stands for, which keeps scores calibrated.
 
 The examples are a bounded sample: of each class, the ``per_class`` training rows with the
@@ -28,7 +28,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +44,10 @@ BEGINNINGS = (4, 5, 6)
 BLOCK, NEIGHBOURS = 32, 15
 #: A term of this G statistic has a quarter of the weight of one that tells the classes apart beyond doubt.
 HALF_G = 16.0
-#: Blocks scored before the bounds of the others are judged.
-FIRST_BLOCKS = 4
-#: Terms whose postings are a table, texts searched for together, and how far sums of single precision may be off.
-COMMON, TOGETHER, ROUNDING = 2048, 128, 1e-4
+#: Terms whose postings are columns of tables, the heavy ones of them, and texts searched for together.
+COMMON, HEAVY, TOGETHER = 4096, 1024, 32
+#: How far sums of less than double precision may be off.
+ROUNDING = 1e-5
 _NEAREST = "doc_id long, score double, evidence array<long>"
 
 
@@ -104,23 +103,25 @@ class Vectors:
         if len(self.slots) > 300_000:
             self.forget()
         fresh, new = [], len(self.bounds) - 1
-        words: list[int] = []
+        words: list[int | None] = []
         times: list[int] = []
         sizes = []
         for text in texts:
             found = words_of(text)
-            sizes.append(len(found))
-            times.extend(found.values())
-            for word in found:
-                slot = self.slots.get(word)
-                if slot is None:
-                    ids = [self.index[t] for t in terms_of(word) if t in self.index]
-                    slot = new if ids else 0
-                    if ids:
-                        fresh.append(ids)
-                        new += 1
-                    self.slots[word] = slot
-                words.append(slot)
+            own = list(map(self.slots.get, found))
+            if None in own:
+                for k, word in enumerate(found):
+                    if own[k] is None:
+                        own[k] = 0
+                        if len(word) <= BEGINNINGS[0] or word[: BEGINNINGS[0]] + "*" in self.index:  # else it has no term
+                            ids = [self.index[t] for t in terms_of(word) if t in self.index]
+                            if ids:
+                                own[k], new = new, new + 1
+                                fresh.append(ids)
+                        self.slots[word] = own[k]
+            sizes.append(len(own))
+            words += own
+            times += found.values()
         if fresh:
             self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(x) for x in fresh])])
             self.of_slot = np.concatenate([self.of_slot, *map(np.array, fresh)])
@@ -162,11 +163,12 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class BlockMaxIndex:
     """Entries by descending main term in blocks, and their postings.
 
-    The postings of the ``COMMON`` terms that most entries have are held as a table, with
-    the largest weight of each in each block; those of the others as lists.
+    The ``COMMON`` terms that most entries have are columns of tables: the ``HEAVY`` ones of
+    the largest factors apart, and the light ones with their largest weight in each block and
+    the norm of each entry over them. The postings of all other terms are lists.
     """
 
-    terms: int
+    factors: np.ndarray  #: of the terms
     bounds: np.ndarray  #: bounds of the postings of each entry
     term: np.ndarray
     weight: np.ndarray
@@ -176,10 +178,10 @@ class BlockMaxIndex:
 
     @classmethod
     def of(cls, vectors: Vectors, entries: dict[tuple, tuple[float, float, int]]) -> BlockMaxIndex:
-        return cls.of_units(len(vectors.idf), [(vectors.unit(c), v) for c, v in entries.items()])
+        return cls.of_units(vectors.idf, [(vectors.unit(c), v) for c, v in entries.items()])
 
     @classmethod
-    def of_units(cls, terms: int, units: list[tuple[tuple[np.ndarray, np.ndarray], tuple[float, float, int]]]) -> BlockMaxIndex:
+    def of_units(cls, factors: np.ndarray, units: list[tuple[tuple[np.ndarray, np.ndarray], tuple[float, float, int]]]) -> BlockMaxIndex:
         # like entries in the same blocks, so that few blocks have high bounds
         units = sorted(units, key=lambda u: (int(u[0][0][np.argmax(u[0][1])]), -float(u[0][1].max()), u[1][2]))
         n = len(units)
@@ -187,97 +189,90 @@ class BlockMaxIndex:
         term = np.concatenate([u[0][0] for u in units]).astype(np.int32) if units else np.zeros(0, np.int32)
         weight = np.concatenate([u[0][1] for u in units]).astype(np.float32) if units else np.zeros(0, np.float32)
         votes = np.array([u[1][:2] for u in units]).reshape(n, 2)
-        return cls(terms, np.concatenate([[0], np.cumsum(sizes)]), term, weight, votes, np.array([u[1][2] for u in units], np.int64), n)
+        return cls(factors, np.concatenate([[0], np.cumsum(sizes)]), term, weight, votes, np.array([u[1][2] for u in units], np.int64), n)
 
-    @cached_property
+    @property
+    def terms(self) -> int:
+        return len(self.factors)
+
+    @property
     def blocks(self) -> int:
         return -(-self.size // BLOCK)
 
-    @cached_property
-    def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Postings by term: their bounds, entries and weights."""
-        order = np.argsort(self.term, kind="stable")
-        entry = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(self.bounds))
-        return np.searchsorted(self.term[order], np.arange(self.terms + 1)), entry[order], self.weight[order]
-
-    @cached_property
-    def place(self) -> np.ndarray:
-        """The row of each term in ``table``, or -1."""
-        starts, _, _ = self.lists
-        often = np.argsort(-np.diff(starts), kind="stable")[:COMMON]
-        place = np.full(self.terms, -1)
-        place[often] = np.arange(len(often))
-        return place
-
-    @cached_property
-    def table(self) -> np.ndarray:
-        """Weights of the common terms: terms x entries."""
-        out = np.zeros((min(COMMON, self.terms), self.blocks * BLOCK), np.float32)
-        row = self.place[self.term]
-        entry = np.repeat(np.arange(self.size), np.diff(self.bounds))
-        out[row[row >= 0], entry[row >= 0]] = self.weight[row >= 0]
-        return out
-
-    @cached_property
-    def maxima(self) -> np.ndarray:
-        """The largest weight of each common term in each block."""
-        return self.table.reshape(len(self.table), self.blocks, BLOCK).max(axis=2)
+    def __post_init__(self) -> None:
+        self.ready = False
+
+    def prepare(self) -> None:
+        """Move the postings into tables and lists."""
+        owner = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(self.bounds))
+        often = np.argsort(-np.bincount(self.term, minlength=self.terms), kind="stable")[:COMMON]
+        often = often[np.argsort(-self.factors[often], kind="stable")]
+        #: the column of each term, those of the heavy ones first, or -1
+        self.place = np.full(self.terms, -1)
+        self.place[often] = np.arange(len(often))
+        column = self.place[self.term]
+        rare = np.flatnonzero(column < 0)
+        rare = rare[np.argsort(self.term[rare], kind="stable")]
+        #: postings of the terms without a column: their bounds by term, entries and weights
+        self.lists = np.searchsorted(self.term[rare], np.arange(self.terms + 1)), owner[rare], self.weight[rare]
+        #: entries x terms
+        self.heavy, self.light = (np.zeros((self.blocks * BLOCK, n), np.float32) for n in (HEAVY, COMMON - HEAVY))
+        for table, first in ((self.heavy, 0), (self.light, HEAVY)):
+            own = np.flatnonzero((column >= first) & (column < first + table.shape[1]))
+            table[owner[own], column[own] - first] = self.weight[own]
+        self.light_norm = np.sqrt(np.einsum("ij,ij->i", self.light, self.light))
+        #: blocks x light terms
+        self.maxima = self.light.reshape(self.blocks, BLOCK, -1).max(axis=1)
+        self.term, self.weight = self.term[:0], self.weight[:0]
+        self.ready = True
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The ``k`` entries of the highest positive cosine: (cosine, entry), best first."""
         return self.nearest_of_all(np.zeros(len(ids), np.int64), ids, weights, 1, k)[0]
 
     def nearest_of_all(self, query: np.ndarray, ids: np.ndarray, weights: np.ndarray, n: int, k: int) -> list[list[tuple[float, int]]]:
-        """``nearest`` for ``n`` queries, whose terms are (query, ids, weights), by query."""
+        """``nearest`` for ``n`` queries, whose terms are (query, ids, weights) sorted by query."""
         if not self.size:
             return [[] for _ in range(n)]
-        wide, row = self.blocks * BLOCK, self.place[ids]
-        asked = np.zeros((n, len(self.table)), np.float32)
-        asked[query[row >= 0], row[row >= 0]] = weights[row >= 0]
+        if not self.ready:
+            self.prepare()
+        wide, column = self.blocks * BLOCK, self.place[ids]
+        asked = np.zeros((n, COMMON), np.float32)
+        often = column >= 0
+        asked[query[often], column[often]] = weights[often]
+        heavy, light = asked[:, :HEAVY], asked[:, HEAVY:]
         starts, entry, by_term = self.lists
-        rare = np.flatnonzero(row < 0)
-        sizes = starts[ids[rare] + 1] - starts[ids[rare]]
-        at = _ranges(starts[ids[rare]], sizes)
-        known = np.bincount(np.repeat(query[rare] * wide, sizes) + entry[at], weights=np.repeat(weights[rare], sizes) * by_term[at], minlength=n * wide)
-        known = known.astype(np.float32).reshape(n, wide)  # the part of the lists
-        limits = asked @ self.maxima + known.reshape(n, self.blocks, BLOCK).max(axis=2)
-        scores = np.full((n, self.blocks, BLOCK), -1, np.float32)
-
-        def score(wanted: np.ndarray) -> None:
-            if 2 * wanted.sum() > wanted.size:
-                scores[...] = (asked @ self.table + known).reshape(scores.shape)
-                return
-            for b in np.flatnonzero(wanted.any(axis=0)):
-                some, own = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
-                scores[some, b] = asked[some] @ self.table[:, own] + known[some, own]
-
-        first = np.argpartition(-limits, min(FIRST_BLOCKS, self.blocks) - 1, axis=1)[:, :FIRST_BLOCKS]
-        wanted = np.zeros(limits.shape, bool)
-        np.put_along_axis(wanted, first, True, axis=1)
-        score(wanted)
-        flat = scores.reshape(n, wide)
+        rare = np.flatnonzero(~often)
+        begins = starts[ids[rare]]
+        sizes = starts[ids[rare] + 1] - begins
+        at = _ranges(begins, sizes)
+        place = np.repeat(query[rare] * wide, sizes)
+        place += entry[at]
+        part = np.repeat(weights[rare], sizes)
+        part *= by_term[at]
+        listed = np.bincount(place, weights=part, minlength=n * wide).reshape(n, wide)
+        known = heavy @ self.heavy.T
+        known += listed
         kth = min(k, wide)
-        least = np.partition(flat, -kth, axis=1)[:, -kth]
-        wanted = ~wanted & (limits > 0) & (limits + ROUNDING >= least[:, None])
-        if wanted.any():
-            score(wanted)
-            least = np.partition(flat, -kth, axis=1)[:, -kth]
-        flat[:, self.size :] = -1
-        edges = np.searchsorted(query, np.arange(n + 1))
-        dense = np.zeros(self.terms)
-        return [self._exact(dense, ids[a:b], weights[a:b], np.flatnonzero((own > 0) & (own + ROUNDING >= low)), k) for a, b, own, low in zip(edges, edges[1:], flat, least)]
-
-    def _exact(self, dense: np.ndarray, ids: np.ndarray, weights: np.ndarray, some: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The best ``k`` of the entries ``some``; dense: zeros, for use here."""
-        if not len(some):
-            return []
-        dense[ids] = weights
-        sizes = self.bounds[some + 1] - self.bounds[some]
-        at = _ranges(self.bounds[some], sizes)
-        cosine = np.round(np.add.reduceat(dense[self.term[at]] * self.weight[at], np.cumsum(sizes) - sizes), 12)
-        dense[ids] = 0
-        best = np.lexsort((self.example[some], -cosine))[:k]
-        return [(float(cosine[e]), int(some[e])) for e in best if cosine[e] > 0]
+        least = np.partition(known, -kth, axis=1)[:, -kth]
+        most = np.repeat(light @ self.maxima.T, BLOCK, axis=1)  # what light terms can add
+        np.minimum(most, np.sqrt((light * light).sum(axis=1))[:, None] * self.light_norm, out=most)
+        most += known
+        near = most + ROUNDING >= np.maximum(least, ROUNDING)[:, None]
+        near[:, self.size :] = False
+        out = []
+        for q in range(n):
+            some, terms = np.flatnonzero(near[q]), np.flatnonzero(light[q])
+            added = self.light.take(some[:, None] * self.light.shape[1] + terms)
+            if len(some) > k:
+                sums = known[q, some] + added @ light[q, terms]
+                best = sums + ROUNDING >= np.partition(sums, -k)[-k]
+                some, added = some[best], added[best]
+            # in double precision
+            exact = np.round(listed[q, some] + self.heavy[some].astype(float) @ heavy[q].astype(float) + added.astype(float) @ light[q, terms].astype(float), 9)
+            best = np.lexsort((self.example[some], -exact))[:k]
+            out.append([(float(exact[e]), int(some[e])) for e in best if exact[e] > 0])
+        return out
 
 
 @dataclass
@@ -355,7 +350,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Colum
             unit, (v0, v1, first) = entries.get(key) or (vectors.unit(dict(zip(ids.tolist(), times.tolist(), strict=True))), (0.0, 0.0, doc_id))
             entries[key] = unit, (v0 + weight * (1 - y), v1 + weight * y, min(first, doc_id))
     vectors.forget()
-    return Classifier(vectors, BlockMaxIndex.of_units(len(terms), list(entries.values())), plain[0] / plain[1], prior)
+    return Classifier(vectors, BlockMaxIndex.of_units(idf, list(entries.values())), plain[0] / plain[1], prior)
 
 
 def scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Column | None = None, per_class: int = 3000) -> DataFrame:
