@@ -16,9 +16,11 @@ CHUNK_BYTES = 2_000_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on one machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         shared = tempfile.mkdtemp(prefix="galleyproof-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
@@ -60,6 +62,23 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return rows.join(few, keys).unionByName(rows.join(few.select(*keys), keys, "left_anti").join(groups.where(~hot), keys))
 
 
+def join_salted(rows: DataFrame, others: DataFrame, key: str, spread: str, least: int = 10_000, most: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``others`` on ``key``, with the rows of hot keys split.
+
+    The ``most`` largest of the keys that have ``least`` rows or more get a share for each
+    ``least`` rows: their rows are dealt out by a hash of ``spread``, and their ``others``
+    are repeated for each share, which is one repetition for ``least`` rows. Any other key
+    has less than a ``most``-th of all rows.
+    """
+    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).orderBy(F.desc("_n"), key).limit(most).collect()
+    if not hot:
+        return rows.join(others, key)
+    shares = F.broadcast(rows.sparkSession.createDataFrame([(r[key], -(-r["_n"] // least)) for r in hot], f"`{key}` {rows.schema[key].dataType.simpleString()}, _shares int"))
+    dealt = rows.join(shares, key, "left").withColumn("_share", F.pmod(F.xxhash64(spread), F.coalesce("_shares", F.lit(1))).cast("int")).drop("_shares")
+    repeated = others.join(shares, key, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))).drop("_shares")
+    return dealt.join(repeated, [key, "_share"]).drop("_share")
+
+
 def text_chunks(
     batches: Iterator[pa.RecordBatch], ids: str = "doc_id", text: str = "text", limit: int = CHUNK_BYTES
 ) -> Iterator[tuple[pa.Array, list[bytes]]]:

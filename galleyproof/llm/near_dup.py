@@ -9,14 +9,19 @@ rejects most of the rest without loss. What remains is confirmed on the full shi
 
 Candidates are not all pairs of a band. First every member of a band is held against the
 smallest member; after the links found so are closed to components, only members of
-different components still have to be compared, and bands that stay large are refined
-by requiring a second band in common. A pair at the threshold misses all 48 bands with a
-probability of 1e-4, and in a refined band alone with 1e-3; both fall fast above it.
+different components still have to be compared. Where a band still has more than
+``LARGE_BAND`` members, its members are not paired by it: the members of all such bands are
+joined exactly, by the rarest shingles of each set (a prefix long enough that linked sets
+must share one) with bounds on sizes and positions, so that what they all have in common
+proposes nothing. A pair at the threshold misses all 48 bands with a probability of 1e-4,
+which falls fast above it; the size of a band costs nothing more.
 
 Nulls and texts without words have no shingles, link with nothing and are kept. Exact
 copies of a word sequence are one node of the graph, whatever their number; a tie goes
-to the smallest doc_id. Rows without doc_id link with nothing, have no component_id and
-are kept. Extra columns are not read.
+to the smallest doc_id. Rows that share a doc_id but not the text are one node, linked by
+whichever of its texts is similar. Rows without doc_id link with nothing, have no
+component_id and are kept. Extra columns are not read. The written tables that the result
+still reads stay in the shared folder.
 """
 
 from __future__ import annotations
@@ -27,10 +32,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from galleyproof.llm.common import drop_scratch, join_groups, materialise, mix64, numbers, text_chunks
+from galleyproof.llm.common import drop_scratch, join_groups, join_salted, materialise, mix64, numbers, text_chunks
 from galleyproof.llm.graph import components
 from galleyproof.llm.words import shingles, split_words
 from galleyproof.session import map_arrow
@@ -38,8 +43,8 @@ from galleyproof.session import map_arrow
 BANDS, ROWS, SKETCH_BITS, PARITY_BITS = 48, 6, 1024, 2048
 #: Estimates below the threshold by more than this are not confirmed: 3.5 standard deviations.
 SKETCH_SLACK = 0.12
-#: Bands with more members than this are refined before their members are paired.
-LARGE_BAND = 2000
+#: Members of bands with more members than this are joined by their rarest shingles instead of being paired.
+LARGE_BAND = 1000
 
 _SIGNATURE = "doc_id long, digest binary, n_shingles long, bands array<long>, sketch array<long>, parity array<long>"
 
@@ -169,39 +174,71 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     texts = materialise(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), "texts")
     left, right = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "uv")
-    both = pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v")
+    both = join_salted(join_salted(pairs.select("u", "v"), left, "u", "v"), right, "v", "u").select("u", "v", "text_u", "text_v")
     links = materialise(map_arrow(both, _confirmer(round(100 * threshold)), "u long, v long"), "links")
     drop_scratch(texts)
     return links
 
 
-def _pairs_in_bands(members: DataFrame, bands: DataFrame, threshold: float, refinements: int = 2) -> DataFrame:
-    """Plausible pairs of different components within a band.
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, texts in text_chunks(batches):
+        values, bounds = shingles(split_words(texts))
+        nodes = np.repeat(ids.cast(pa.int64()).to_numpy(), np.diff(bounds))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(values.view(np.int64))], ["node", "shingle"])
+
+
+def _pairs_by_rare_shingles(places: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): pairs of ``places`` (node, component) of different components, all linked ones among them.
 
-    members: (key, node, component). Bands of over ``LARGE_BAND`` members are split by a
-    second band that their members share, up to ``refinements`` times.
+    The shingles of a set are ordered by their number of sets. Of two sets with an overlap
+    of a or more, the first common one is among the first n - a + 1 of both; a is at least
+    t n for the longer set, and 2 t / (1 + t) n for the shorter.
     """
-    parts = []
-    for k in range(refinements + 1):
-        sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        members = materialise(members.join(sizes.select("key", "n"), "key"), "members")
-        large = members.where(F.col("n") > LARGE_BAND) if k < refinements else None
-        parts.append(members if large is None else members.where(F.col("n") <= LARGE_BAND))
-        if large is None or large.isEmpty():
-            break
-        other = bands.select(F.col("doc_id").alias("node"), F.explode("bands").alias("other"))
-        members = large.join(other, "node").where("key <> other").select(F.xxhash64("key", "other").alias("key"), "node", "component")
-    pairs = None
-    for part in parts:
-        live = part.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("live"))  # a key for each of its bands
-        full = part.join(live.join(bands.select(F.col("doc_id").alias("node"), *_OWN), "node"), "node")
-        once = F.col("key") == F.element_at(F.array_intersect("live_a", "live_b"), 1)  # a pair counts in its first common band only
-        found = _side(full, "u", "a").join(_side(full, "v", "b"), "key").where((F.col("u") < F.col("v")) & (F.col("component_a") != F.col("component_b")) & _plausible(threshold) & once).select("u", "v")
-        pairs = found if pairs is None else pairs.unionAll(found)
-    return pairs.distinct()
-
-
-def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
+    percent = round(100 * threshold)
+    texts = docs.select("doc_id", "text").join(places.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    rows = materialise(map_arrow(texts, _shingle_rows, "node long, shingle long").distinct(), "shingles")
+    counted = materialise(join_salted(rows, rows.groupBy("shingle").agg(F.count("*").alias("df")), "shingle", "node"), "counted")
+    sized = places.join(counted.groupBy("node").agg(F.count("*").alias("n"), F.count_if(F.col("df") == 1).alias("alone")), "node")
+    ranked = counted.where("df > 1").select("node", "shingle", F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")).alias("rank"))
+    least = lambda x: F.floor((x + 99 + percent) / (100 + percent)).cast("long")
+    placed = ranked.join(sized, "node").withColumn("place", F.col("rank") + F.col("alone"))
+    prefix = materialise(placed.where(F.col("place") <= F.col("n") - F.ceil(percent * F.col("n") / 100) + 1), "prefixes")
+    shorter = prefix.where(F.col("place") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1)
+    x, y = (t.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "component", "n", "place"))) for k, t in (("x", shorter), ("y", prefix)))
+    both = join_salted(y, x, "shingle", "node_y")
+    order = F.struct("n_x", "node_x") < F.struct("n_y", "node_y")
+    room = 1 + F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
+    kept = both.where(order & (F.col("component_x") != F.col("component_y")) & (100 * F.col("n_x") >= percent * F.col("n_y")) & (room >= least(percent * (F.col("n_x") + F.col("n_y")))))
+    pairs = materialise(kept.select(F.least("node_x", "node_y").alias("u"), F.greatest("node_x", "node_y").alias("v")).distinct(), "rare-pairs")
+    drop_scratch(rows, counted, prefix)
+    return pairs
+
+
+def _pairs_in_bands(members: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, large_band: int) -> DataFrame:
+    """Plausible pairs (u, v) of different components within a band, as a written table.
+
+    members: (key, node, component), of which a node's bands are those it shares.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "n")
+    members = materialise(join_salted(members, sizes, "key", "node"), "members")
+    sides = nodes.select(F.col("doc_id").alias("node"), *_OWN)
+    small = members.where(F.col("n") <= large_band)
+    live = small.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("live"))
+    full = small.join(live.join(sides, "node"), "node")
+    once = F.col("key") == F.element_at(F.array_intersect("live_a", "live_b"), 1)  # a pair counts in its first common band only
+    found = _side(full, "u", "a").join(_side(full, "v", "b"), "key").where((F.col("u") < F.col("v")) & (F.col("component_a") != F.col("component_b")) & _plausible(threshold) & once).select("u", "v")
+    places = members.where(F.col("n") > large_band).select("node", "component").distinct()
+    many = not places.isEmpty()
+    if many:
+        rare = _pairs_by_rare_shingles(places, docs, threshold)
+        sketched = join_salted(join_salted(rare, _side(sides, "u", "a"), "u", "v"), _side(sides, "v", "b"), "v", "u")
+        found = found.unionAll(sketched.where(_plausible(threshold)).select("u", "v"))
+    pairs = materialise(found.distinct(), "pairs")
+    drop_scratch(members, *([rare] if many else []))
+    return pairs
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.75, large_band: int = LARGE_BAND) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each document of ``docs`` (doc_id, text).
 
     Documents are linked if 100 * intersection >= 100 * threshold * union of their shingle
@@ -214,20 +251,27 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     nodes = materialise(signed.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "bands", *_OWN), "nodes")
     keys = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-    members = materialise(keys.join(shared.select("key", "first"), "key").select("key", "node", "first"), "members")
+    shared = materialise(shared, "bands")
+    members = materialise(join_groups(keys, shared, ["key"], "n").select("key", "node", "first"), "members")
     sides = nodes.select(F.col("doc_id").alias("node"), *_OWN)
-    stars = members.where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
-    stars = materialise(stars.join(_side(sides, "v", "b"), "v").join(_side(sides, "u", "a"), "u").where(_plausible(threshold)).select("u", "v"), "stars")
+    near = materialise(members.where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct(), "near")
+    stars = materialise(join_salted(near.join(_side(sides, "v", "b"), "v"), _side(sides, "u", "a"), "u", "v").where(_plausible(threshold)).select("u", "v"), "stars")
+    drop_scratch(shared, near)
     links = _confirmed(stars, docs, threshold)
     found = materialise(components(links), "components")
     placed = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    rest = materialise(_pairs_in_bands(placed, nodes, threshold).join(stars, ["u", "v"], "left_anti"), "pairs")
-    drop_scratch(members, stars)
+    pairs = _pairs_in_bands(placed, nodes, docs, threshold, large_band)
+    rest = materialise(pairs.join(stars, ["u", "v"], "left_anti"), "rest")
+    drop_scratch(members, stars, pairs, nodes)
     if not rest.isEmpty():
         more = _confirmed(rest, docs, threshold)
         if not more.isEmpty():
-            found = materialise(components(links.unionAll(more)), "components")
+            before, found = found, materialise(components(links.unionAll(more)), "components")
+            drop_scratch(before)
+        drop_scratch(more)
+    drop_scratch(links, rest)
     classes = materialise(groups.join(found, "node", "left").select("digest", "copies", F.coalesce("component", "node").alias("component_id")), "classes")
+    drop_scratch(found)
     columns = ("doc_id", "n_shingles", "component_id")
     placed = join_groups(signed.where(named).select("doc_id", "digest", "n_shingles"), classes, ["digest"], "copies").select(*columns)
     alone = signed.where(~named).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
