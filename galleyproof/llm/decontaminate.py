@@ -15,13 +15,16 @@ This loses nothing, and around a window that agrees, passages up to half an item
 confirmed with it. A document is read once, whole; only the items are sent to the tasks,
 in blocks of at most ``ITEMS_PER_BLOCK``.
 
-Items of fewer than three words, or null, match nothing, and so do null and empty texts.
+Words are runs of letters and digits of any script, in lower case. Items of one or two words
+allow no edit and are looked up as they are. Items without words, or null, match nothing,
+and so do null and empty texts.
 Rows without doc_id are left out. Items with equal words are found each for itself.
 Repeated rows of a document give one result. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,14 +40,35 @@ from galleyproof.session import map_arrow
 REPEATS, SAMPLED = 24, 2
 ITEMS_PER_BLOCK = 20_000
 _PAD = np.uint64(0x9E3779B97F4A7C15)
+#: Characters beyond ASCII that part words; combining marks do not.
+_APART = re.compile("[^\\w\x00-\x7f\u0300-\u036f]")
 _MATCHES = "doc_id long, item_id long, distance int, item_words int, start long, end long"
 
 
+def plain(data: bytes) -> bytes:
+    """UTF-8 with as many characters, in which ASCII alone parts words and A-Z are the only capitals."""
+    if data.isascii():
+        return data
+    text = _APART.sub(" ", data.decode("utf-8", "replace"))
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    return low.encode()
+
+
+def grams(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of ``n`` consecutive words."""
+    factors = numbers(43, n) | np.uint64(1)
+    count = max(0, len(words) - n + 1)
+    total = np.full(count, np.uint64(n))
+    for k in range(n):
+        total += words[k : k + count] * factors[k]
+    return mix64(total)
+
+
 def triples(words: np.ndarray) -> np.ndarray:
     """Hashes of three consecutive words."""
-    factors = numbers(41, 3) | np.uint64(1)
-    n = max(0, len(words) - 2)
-    return mix64(words[:n] * factors[0] + words[1 : n + 1] * factors[1] + words[2 : n + 2] * factors[2])
+    return grams(words, 3)
 
 
 def edits_allowed(words: int, share: float) -> int:
@@ -104,16 +128,19 @@ class Items:
     triple_size: np.ndarray  #: that size
     sizes: list[tuple[int, int]]  #: (words of an item, triples of the items that its match keeps)
     keys: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]  #: (size, repeat): sorted keys, items
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  #: items of one or two words: sorted keys, item_ids
 
     @classmethod
     def of(cls, rows: list[tuple[int, str | None]], share: float, repeats: int) -> Items:
-        ids, words, edits = [], [], []
+        ids, words, edits, brief = [], [], [], []
         for item_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0], r[1])):
-            found = split_words([(text or "").encode()], LETTERS).hash
+            found = split_words([plain((text or "").encode())], LETTERS).hash
             if item_id is not None and len(found) >= 3:
                 ids.append(item_id)
                 words.append(found)
                 edits.append(edits_allowed(len(found), share))
+            elif item_id is not None and len(found):
+                brief.append((item_id, found))
         hashes = np.concatenate([triples(w) for w in words]) if words else np.zeros(0, np.uint64)
         bits = max(16, int(np.ceil(np.log2(len(hashes) + 1))) + 6)
         seen = np.zeros(1 << bits, bool)
@@ -129,7 +156,22 @@ class Items:
                 key = cgk_keys(flat, np.arange(len(own)) * size, size, r)
                 order = np.argsort(key, kind="stable")
                 keys[size, r] = key[order], np.array(own)[order]
-        return cls(ids, [w.tolist() for w in words], edits, seen, pairs["hash"], pairs["size"], sizes, keys)
+        short = {}
+        for n in (1, 2):
+            own = sorted((int(grams(w, n)[0]), i) for i, w in brief if len(w) == n)
+            if own:
+                short[n] = np.array([k for k, _ in own], np.uint64), np.array([i for _, i in own], np.int64)
+        return cls(ids, [w.tolist() for w in words], edits, seen, pairs["hash"], pairs["size"], sizes, keys, short)
+
+    def short_hits(self, words: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(doc, item_id, first word, words) of the items of one or two words that documents hold."""
+        for n, (keys, items) in self.short.items():
+            found = grams(words, n)
+            low, high = (np.searchsorted(keys, found, side) for side in ("left", "right"))
+            place = np.flatnonzero((high > low) & (doc[: len(found)] == doc[n - 1 : n - 1 + len(found)]))
+            _, first = np.unique(np.stack([doc[place], low[place]]), axis=1, return_index=True)
+            for k in place[first]:
+                yield from ((int(doc[k]), int(i), int(k), n) for i in items[low[k] : high[k]])
 
     def hits(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word, size): places where a triple of an item of that size starts, by place."""
@@ -148,8 +190,10 @@ class Items:
             own = place[place_size == size]
             if len(own) < least:
                 continue
-            starts = np.unique((own[:, None] - np.arange(size - 2)[None, :]).ravel())
-            starts = starts[starts >= 0]
+            own = np.sort(own)
+            low = np.maximum(np.maximum(own - size + 3, 0), np.concatenate([[0], own[:-1] + 1]))
+            length = np.maximum(own - low + 1, 0)
+            starts = np.repeat(own + 1 - np.cumsum(length), length) + np.arange(length.sum())
             held = np.searchsorted(own, starts + size - 2) - np.searchsorted(own, starts)
             yield size, starts[held >= least]
 
@@ -168,6 +212,7 @@ class Items:
 def _finder(items: Items, repeats: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_chunks(batches):
+            texts = [plain(t) for t in texts]
             words = split_words(texts, LETTERS)
             hits = items.hits(words.hash, words.doc)
             found: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -188,8 +233,11 @@ def _finder(items: Items, repeats: int):
                         _, length = best_match(items.words[item][::-1], text[:end][::-1])
                         row = (distance, a + end - length, a + end)
                         found[doc, item] = min(row, found.get((doc, item), row))
-            if found:
-                rows = []
+            rows = []
+            for doc, item_id, a, n in items.short_hits(words.hash, words.doc):
+                start, end = (len(texts[doc][:x].decode("utf-8", "replace")) for x in (int(words.start[a]), int(words.end[a + n - 1])))
+                rows.append((ids[doc].as_py(), item_id, 0, n, start, end))
+            if found or rows:
                 for (doc, item), (distance, a, b) in sorted(found.items()):
                     start, end = (len(texts[doc][:x].decode("utf-8", "replace")) for x in (int(words.start[a]), int(words.end[b - 1])))
                     rows.append((ids[doc].as_py(), items.ids[item], distance, len(items.words[item]), start, end))
@@ -214,7 +262,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.25, repeats: i
     for k in range(blocks):
         block = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else benchmark
         items = Items.of([(r["item_id"], r["text"]) for r in block.select("item_id", "text").collect()], share, repeats)
-        if items.ids:
+        if items.ids or items.short:
             out = out.unionAll(map_arrow(read, _finder(items, repeats), _MATCHES))
     best = F.min(F.struct("distance", "start", "end", "item_words"))
     return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.distance", "b.item_words", "b.start", "b.end")

@@ -31,6 +31,8 @@ from galleyproof.llm.common import text_chunks
 from galleyproof.session import map_arrow
 
 WIDTH, FRAME_ROWS, DELAY_MS = 192, 1024, 100
+#: Pixels of a canvas beyond which a GIF gives an error row instead of frames, so that no header fills the memory.
+MOST_PIXELS = 1 << 25
 _MAX_CODES = 4096
 _GREY = bytes(v for i in range(256) for v in (i, i, i))
 
@@ -208,11 +210,13 @@ def _table(data: bytes, at: int, flags: int) -> tuple[np.ndarray | None, int]:
     return colours, at + 3 * n
 
 
-def decode_gif(data: bytes) -> Iterator[Frame]:
-    """Composed frames of a GIF, in order; ValueError or IndexError if it is broken."""
+def decode_gif(data: bytes, most_pixels: int = MOST_PIXELS) -> Iterator[Frame]:
+    """Composed frames of a GIF, in order; ValueError or IndexError if it is broken or its canvas larger than ``most_pixels``."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _background, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > most_pixels:
+        raise ValueError(f"a canvas of more than {most_pixels} pixels")
     shared, at = _table(data, 13, flags)
     canvas, covered = np.zeros((height, width, 3), np.uint8), np.zeros((height, width), bool)
     disposal, delay, clear_index, clock, number = 0, 0, -1, 0, 0
@@ -234,6 +238,8 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
         colours = shared if local is None else local
         if colours is None:
             raise ValueError("no colour table")
+        if left + w > width or top + h > height:
+            raise ValueError("a frame beyond the canvas")
         bits = data[at]
         if not 2 <= bits <= 8:
             raise ValueError("a code size out of range")
@@ -244,8 +250,6 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
             straight = np.empty_like(index)
             straight[rows] = index
             index = straight
-        if left + w > width or top + h > height:
-            raise ValueError("a frame beyond the canvas")
         before = (canvas.copy(), covered.copy()) if disposal == 3 else None
         colour = colours[index if len(colours) == 256 else np.minimum(index, len(colours) - 1)]
         part = canvas[top : top + h, left : left + w]
@@ -329,7 +333,7 @@ def media_table(docs: DataFrame, with_media: bool = True) -> DataFrame:
 _FRAMES = "id long, frame int, start_ms long, delay_ms long, disposal int, width int, height int, pixels binary, histogram array<long>, error string"
 
 
-def gif_frames(media: DataFrame, key: str = "doc_id", content: str = "media") -> DataFrame:
+def gif_frames(media: DataFrame, key: str = "doc_id", content: str = "media", most_pixels: int = MOST_PIXELS) -> DataFrame:
     """One row for each composed frame of the GIFs in ``content``: its time, RGB pixels and histogram."""
 
     def row(key_value: int | None, frame: Frame | None, error: str | None = None) -> dict:
@@ -346,7 +350,7 @@ def gif_frames(media: DataFrame, key: str = "doc_id", content: str = "media") ->
                     continue
                 rows: list[dict] = []
                 try:
-                    for frame in decode_gif(data.as_py()):
+                    for frame in decode_gif(data.as_py(), most_pixels):
                         yield pa.RecordBatch.from_pylist([row(key_value, frame)], schema)
                 except (ValueError, IndexError, struct.error) as e:
                     rows = [row(key_value, None, str(e))]

@@ -95,12 +95,12 @@ def sentence_ends(path: str) -> np.ndarray:
     return np.array([x.rstrip(" \"')").endswith((".", "!", "?", "\n")) for x in texts])
 
 
-def possible_cuts(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def possible_cuts(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Positions where the stream may be cut, and their penalties; the first position is 0."""
     sentence = np.flatnonzero(ends[np.minimum(ids, len(ends) - 1)]) + 1
     position = np.unique(np.concatenate([[0, len(ids)], sentence, doc_ends]))
-    gaps = np.flatnonzero(np.diff(position) > LONG_GAP)
-    inside = [np.arange(position[g] + INSIDE_STEP, position[g + 1], INSIDE_STEP) for g in gaps]
+    gaps, step = np.flatnonzero(np.diff(position) > min(LONG_GAP, length)), min(INSIDE_STEP, length)
+    inside = [np.arange(position[g] + step, position[g + 1], step) for g in gaps]
     penalty = np.full(len(position), SENTENCE_PENALTY)
     penalty[np.searchsorted(position, doc_ends)] = 0
     penalty[0] = penalty[-1] = 0
@@ -161,7 +161,7 @@ class _Stream:
         """Pieces of all windows but the last, which later documents may still fill; at the end, of all."""
         ids = np.concatenate(self.ids)
         starts = np.cumsum([0] + [len(x) for x in self.ids])
-        cuts = np.array(best_cuts(*possible_cuts(ids, starts[1:], self.ends), self.length))
+        cuts = np.array(best_cuts(*possible_cuts(ids, starts[1:], self.ends, self.length), self.length))
         if not last:
             cuts = cuts[:-1]
         done = int(cuts[-1])

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from galleyproof.llm.common import join_groups, materialise, text_chunks
 from galleyproof.session import map_arrow
 
-_UNIT = re.compile(r"[^\s.!?][^.!?\n]*[.!?]*")
+_UNIT = re.compile(r"[^\s.!?。！？][^.!?。！？\n]*[.!?。！？]*")
 _UNITS = "h1 long, h2 long, doc_id long, unit int, start int, end int, words int, again boolean"
 
 
@@ -73,7 +73,7 @@ def repeated_spans(docs: DataFrame, min_words: int = 1) -> DataFrame:
     return (
         later.withColumn("island", island)
         .groupBy("doc_id", "island")
-        .agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.sum("words").alias("n_words"), F.min("first").alias("first_doc_id"))
+        .agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.sum("words").alias("n_words"), F.min_by("first", "unit").alias("first_doc_id"))
         .where(F.col("n_words") >= min_words)
         .drop("island")
     )

@@ -11,8 +11,10 @@ base64url, alphanumeric) and whose symbols are tested against uniform randomness
 
 combined by Fisher's method. Tests gain power with length, so p-values are ranked within
 classes of length: Benjamini-Hochberg over the corpus sets aside the runs that are
-structured, at most ``alpha`` of those wrongly in each class. Runs that stay are added,
-unless they lie within a base span. The ranking uses counts per class and bin of -log10 p
+structured, and at most a share ``alpha`` of those set aside in a class are random. Runs
+that stay are added, unless they lie within a base span. What is controlled is thus how
+many random runs are lost; no share of the added spans is guaranteed to be random, as
+structure that the three tests do not see stays. The ranking uses counts per class and bin of -log10 p
 (at most 13 x 201), so it is the same at every corpus size and nothing is collected.
 
 Null text is empty. Repeated rows are scanned as they come. Overlaps of kinds are kept.
@@ -53,6 +55,10 @@ def _literal(pattern: str) -> str:
     return "r'" + pattern.replace("'", r"\x27") + "'"
 
 
+#: Matches that one fold takes; the folds of a text start from sums over the others before them.
+FOLD = 256
+
+
 def _spans(text: str, searched: str, pattern: str, kind: int, keep: str) -> Column:
     """Spans (start, end, kind) of the leftmost non-overlapping matches of ``pattern`` that satisfy ``keep``.
 
@@ -61,18 +67,22 @@ def _spans(text: str, searched: str, pattern: str, kind: int, keep: str) -> Colu
     """
     lit = _literal(pattern)
     group = 2 if pattern == ASSIGN else 0
-    return F.expr(
-        f"""if({searched}, filter(aggregate(
-              zip_with(split({text}, {lit}, -1),
-                       zip_with(regexp_extract_all({text}, {lit}, 0), regexp_extract_all({text}, {lit}, {group}), (m, g) -> named_struct('m', m, 'g', g)),
-                       (p, x) -> named_struct('gap', length(p), 'm', x.m, 'g', x.g)),
-              named_struct('at', 0L, 'out', cast(array() as array<struct<start: bigint, end: bigint, kind: int, m: string, g: string>>)),
-              (a, x) -> if(x.m is null, a, named_struct(
-                'at', a.at + x.gap + length(x.m),
-                'out', concat(a.out, array(named_struct('start', a.at + x.gap, 'end', a.at + x.gap + length(x.m), 'kind', {kind}, 'm', x.m, 'g', x.g))))),
-              a -> a.out), s -> {keep}),
-            cast(array() as array<struct<start: bigint, end: bigint, kind: int, m: string, g: string>>))"""
+    none = "cast(array() as array<struct<start: bigint, end: bigint, kind: int, m: string, g: string>>)"
+    found = (
+        f"filter(zip_with(split({text}, {lit}, -1), zip_with(regexp_extract_all({text}, {lit}, 0), regexp_extract_all({text}, {lit}, {group}), (m, g) -> named_struct('m', m, 'g', g)),"
+        " (p, x) -> named_struct('gap', length(p), 'm', x.m, 'g', x.g)), x -> x.m is not null)"
+    )
+    folds = f"transform(sequence(0, greatest(size(all) - 1, 0) div {FOLD}), k -> slice(all, k * {FOLD} + 1, {FOLD}))"
+    before = (  # the sums of the folds before each
+        "aggregate(folds, named_struct('at', 0L, 'out', cast(array() as array<bigint>)), (a, f) -> named_struct("
+        "'at', a.at + aggregate(f, 0L, (t, x) -> t + x.gap + length(x.m)), 'out', concat(a.out, array(a.at))), a -> a.out)"
     )
+    placed = (
+        f"flatten(zip_with(folds, {before}, (f, first) -> aggregate(f, named_struct('at', first, 'out', {none}), (a, x) -> named_struct("
+        f"'at', a.at + x.gap + length(x.m), 'out', concat(a.out, array(named_struct('start', a.at + x.gap, 'end', a.at + x.gap + length(x.m), 'kind', {kind}, 'm', x.m, 'g', x.g)))), a -> a.out)))"
+    )
+    inner = f"element_at(transform(array({folds}), folds -> filter({placed}, s -> {keep})), 1)"
+    return F.expr(f"if({searched}, element_at(transform(array({found}), all -> {inner}), 1), {none})")
 
 
 def _plain(spans: str) -> Column:
@@ -174,9 +184,9 @@ def structured_from(docs: DataFrame, alpha: float = 0.01) -> dict[int, int]:
     return {r["class"]: r["bin"] for r in rejected.collect()}  # thirteen classes at most
 
 
-def scan(docs: DataFrame, alpha: float = 0.01) -> DataFrame:
-    """``docs`` (with text) and its spans: ``base`` and ``added``, arrays of (start, end, kind)."""
-    named = docs.withColumn("_text", F.coalesce("text", F.lit("")))
+def _scanned(docs: DataFrame, alpha: float) -> DataFrame:
+    """(row: all columns of ``docs``, text, base, added)."""
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text")).withColumn("_text", F.coalesce("text", F.lit("")))
     limits = structured_from(named, alpha)
     limit = "coalesce(element_at(map(" + ", ".join(f"{k}, {v}" for k, v in limits.items()) + f"), r.class), {LAST_BIN + 1})" if limits else str(LAST_BIN + 1)
     found = _with_candidates(named.withColumns(base_spans()))
@@ -185,7 +195,16 @@ def scan(docs: DataFrame, alpha: float = 0.01) -> DataFrame:
         f"""transform(filter(_runs, r -> r.bin < {limit} and not exists(base, b -> b.start <= r.start and r.end <= b.end)),
               r -> named_struct('start', r.start, 'end', r.end, 'kind', 3))"""
     )
-    return found.withColumn("base", base).withColumn("added", added).drop("_text", "_runs", "_assign", "_access", "_hex")
+    return found.withColumn("base", base).withColumn("added", added).select("row", "text", "base", "added")
+
+
+def scan(docs: DataFrame, alpha: float = 0.01) -> DataFrame:
+    """``docs`` (with text) and its spans: ``base`` and ``added``, arrays of (start, end, kind).
+
+    Columns of these names that ``docs`` has already are replaced.
+    """
+    kept = [c for c in docs.columns if c not in ("base", "added")]
+    return _scanned(docs, alpha).select(*(F.col("row")[c].alias(c) for c in kept), "base", "added")
 
 
 def _by_start(a: Column, b: Column) -> Column:
@@ -210,14 +229,14 @@ def find_secrets(docs: DataFrame, alpha: float = 0.01) -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", alpha: float = 0.01) -> DataFrame:
     """``docs`` with each secret (overlapping spans: their union) replaced by ``mask``; n_chars, if there, is counted anew."""
-    spans = scan(docs, alpha).withColumn("_all", F.array_sort(F.concat("base", "added"), _by_start))
+    spans = _scanned(docs, alpha).withColumn("_all", F.array_sort(F.concat("base", "added"), _by_start))
     masked = F.expr(
-        f"""if(size(_all) = 0, text, aggregate(_all, named_struct('at', 0L, 'out', ''),
+        f"""if(size(_all) = 0, text, aggregate(_all, named_struct('at', 0L, 'out', cast(array() as array<string>)),
               (a, s) -> if(s.end <= a.at, a, named_struct('at', s.end, 'out',
-                if(s.start < a.at, a.out, concat(a.out, substring(text, int(a.at) + 1, int(s.start - a.at)), '{mask}')))),
-              a -> concat(a.out, substring(text, int(a.at) + 1))))"""
+                if(s.start < a.at, a.out, concat(a.out, array(substring(text, int(a.at) + 1, int(s.start - a.at)), '{mask}'))))),
+              a -> array_join(concat(a.out, array(substring(text, int(a.at) + 1))), '')))"""
     )
-    out = spans.withColumn("text", masked)
+    new = {"text": F.col("_masked")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_all") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.size("_all") > 0, F.length("_masked")).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return spans.withColumn("_masked", masked).select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

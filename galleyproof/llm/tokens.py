@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,10 +74,9 @@ def content_digest(text: str | Column, normalise=lambda c: c) -> Column:
 
 def cached_counts(spark, cache_path: str, version: str) -> DataFrame:
     """Cached (digest, n_tokens) of one tokenizer version, one row a digest; empty without a cache."""
-    try:
-        rows = spark.read.schema(_CACHE).parquet(cache_path)
-    except AnalysisException:
-        rows = spark.createDataFrame([], _CACHE)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache_path)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    rows = spark.read.schema(_CACHE).parquet(cache_path) if there else spark.createDataFrame([], _CACHE)
     return rows.where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
