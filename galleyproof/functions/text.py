@@ -19,7 +19,8 @@ ARABIC_MARKS = "[ؐ-ًؚ-ٰٟۖ-ۭـ]"
 ARABIC_FROM, ARABIC_TO = "أإآٱكيىۀ،؛؟۔", "ااااکییہ,;?."
 BULLETS = ("•", "●", "◦", "▪", "▫", "·", "‣", "⁃", "◉", "○", "■")
 WORD = r"[\p{L}\p{M}\p{N}]"
-TOKEN = f"{WORD}+(?:[-'’{DASHES}]{WORD}+)*|[\\p{{P}}\\p{{S}}]"
+# possessive throughout: the regex engine recurses for each turn of a group that it may have to undo
+TOKEN = f"{WORD}++(?:[-'’{DASHES}]{WORD}++)*+|[\\p{{P}}\\p{{S}}]"
 
 #: Page labels and reservations of rights, in languages of the documents.
 BOILERPLATE = (
@@ -184,6 +185,6 @@ def is_rtl_word(c: Column) -> Column:
 
 def rtl_fix_line(c: Column) -> Column:
     """In mostly Arabic text each run of Arabic words reversed as a whole, the rest as it is."""
-    runs = F.regexp_extract_all(c, F.lit(f"[{_TURNING}]+(?:(?U:\\s+)[{_TURNING}]+)*|[^{_TURNING}]+"), F.lit(0))
+    runs = F.regexp_extract_all(c, F.lit(f"[{_TURNING}]++(?:(?U:\\s++)[{_TURNING}]++)*+|[^{_TURNING}]++"), F.lit(0))
     fixed = F.array_join(F.transform(runs, lambda r: F.when(is_rtl_word(r), F.reverse(r)).otherwise(r)), "")
     return F.when(is_rtl_text(c), fixed).otherwise(c)

@@ -71,18 +71,18 @@ def merge_hyphen_tokens(tokens: Column) -> Column:
         text = F.concat(a["text"], h["text"], b["text"])
         flags = {"line": a["line"], "node": a["node"], "tag": a["tag"], "bold": a["bold"] | h["bold"] | b["bold"], "heading_level": F.greatest(a["heading_level"], h["heading_level"], b["heading_level"]), "in_allowed_block": a["in_allowed_block"] & h["in_allowed_block"] & b["in_allowed_block"]}
         parts = {"text": text, "norm": tx.norm_compare(text), **flags}
-        return F.named_struct(*(x for k, v in parts.items() for x in (F.lit(k), v))).cast(_TOKEN)
+        return F.named_struct(*(x for k, v in parts.items() for x in (F.lit(k), v))).cast(TOKEN_TYPE)
 
     texts = lambda all_: F.transform(all_, lambda t: t["text"])
     return _let(tokens, lambda own: _let(_let(texts(own), _hyphens), lambda at: _joined(own, at, join)))
 
 
-_TOKEN = "struct<text:string,norm:string,line:int,node:int,tag:string,bold:boolean,heading_level:int,in_allowed_block:boolean>"
+TOKEN_TYPE = "struct<text:string,norm:string,line:int,node:int,tag:string,bold:boolean,heading_level:int,in_allowed_block:boolean>"
 
 
 def page_tokens(shown: DataFrame) -> DataFrame:
     """(pair_id, tokens) of the shown texts of pages: words in document order, each with the flags of its text."""
-    own = F.transform(tx.tokens(tx.strip_boilerplate(F.col("text"))), lambda t: F.named_struct(F.lit("text"), t, F.lit("norm"), tx.norm_compare(t), F.lit("line"), F.col("line"), F.lit("node"), F.col("node_id"), F.lit("tag"), F.col("parent_tag"), F.lit("bold"), F.col("bold"), F.lit("heading_level"), F.col("heading_level"), F.lit("in_allowed_block"), F.col("in_allowed_block")).cast(_TOKEN))
+    own = F.transform(tx.tokens(tx.strip_boilerplate(F.col("text"))), lambda t: F.named_struct(F.lit("text"), t, F.lit("norm"), tx.norm_compare(t), F.lit("line"), F.col("line"), F.lit("node"), F.col("node_id"), F.lit("tag"), F.col("parent_tag"), F.lit("bold"), F.col("bold"), F.lit("heading_level"), F.col("heading_level"), F.lit("in_allowed_block"), F.col("in_allowed_block")).cast(TOKEN_TYPE))
     texts = shown.select(F.col("page_id").alias("pair_id"), F.struct("node_id", own.alias("t")).alias("piece"))
     return texts.groupBy("pair_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list("piece")), lambda p: p["t"])).alias("tokens"))
 

@@ -131,13 +131,23 @@ def placeholders(shown: DataFrame) -> DataFrame:
     return _issue(shown.where(F.col("text").rlike(PLACEHOLDER)), "Leftover Placeholder", F.regexp_extract("text", PLACEHOLDER, 1))
 
 
+def _local_links(tree: DataFrame) -> DataFrame:
+    links = tree.where("tag = 'a'").select("page_id", "line", F.col("attrs")["href"].alias("href"))
+    return links.where(F.col("href").isNotNull() & (F.col("href") != "") & ~F.col("href").rlike("^(https?://|http:|https:|mailto:|#|javascript:)"))
+
+
 def broken_links(tree: DataFrame, existing: DataFrame) -> DataFrame:
     """Local link targets that are not among ``existing`` (path)."""
-    links = tree.where("tag = 'a'").select("page_id", "line", F.col("attrs")["href"].alias("href"))
-    local = links.where(F.col("href").isNotNull() & (F.col("href") != "") & ~F.col("href").rlike("^(https?://|http:|https:|mailto:|#|javascript:)"))
+    local = _local_links(tree)
     return _issue(local.join(existing.select(F.col("path").alias("href")), "href", "left_anti"), "Broken Link", F.col("href"))
 
 
+def broken_links_of(tree: DataFrame, existing: DataFrame) -> DataFrame:
+    """The same with a listing (page_id, path) of each page's own, from the page's folder."""
+    local = _local_links(tree).withColumn("path", F.regexp_replace("href", r"(^|/)(?:\./)+", "$1"))
+    return _issue(local.join(existing, ["page_id", "path"], "left_anti"), "Broken Link", F.col("href"))
+
+
 def first_text(tree: DataFrame, tag: str) -> DataFrame:
     """(page_id, text) within the first element ``tag`` of each page."""
     within = tree.where("kind = 'text'").where(F.expr(f"exists(path, p -> p.tag = '{tag}')"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from galleyproof.functions import text as tx
 from galleyproof.functions.language import DIACRITICS, TRIGRAMS, detect_language
 from galleyproof.operators import align, classify, dom, images, pairing, rollup, state, tags
-from galleyproof.plans import admin_queries, rule_queries, source_queries  # noqa: F401  (they register theirs)
+from galleyproof.plans import admin_queries, check_queries, rule_queries, source_queries  # noqa: F401  (they register theirs)
 from galleyproof.plans.fixtures import fx, with_views
 from galleyproof.plans.registry import COMPARE, ORACLES, QUERIES, SCAN, SPACES, TOKENS, on, query, quoted, read
 from galleyproof.sources import packages, rtf
@@ -69,10 +69,11 @@ _STRIP = f"trim(regexp_replace({_STRIP}, '{SPACES}', ' ', 'g'))"
 
 @query("text_boilerplate", f"select doc_id, cast(count(*) filter (not regexp_matches({_STRIP}, '\\p{{L}}') or regexp_full_match(trim(line), '(?i)page\\s+\\d+')) as bigint) as boilerplate, count(*) as n, md5(string_agg({_STRIP}, '|' order by line)) as h from ({_LINES}) group by doc_id")
 def text_boilerplate(spark, sf):
-    lines = read(spark, sf, "documents").select("doc_id", F.explode(F.split(F.concat_ws("\n", "text", F.concat(F.lit("Page "), "doc_id"), F.lit("© 2026 Example, Inc. All rights  reserved. Page 7"), F.lit("42"), F.lit("")), "\n")).alias("line"))
-    kept = lines.select("doc_id", "line", tx.strip_boilerplate(F.col("line"), _STOCK).alias("s"), tx.is_boilerplate_line(F.col("line"), _STOCK).alias("b"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "s"))), lambda x: x["s"]), "|")
-    return kept.groupBy("doc_id").agg(F.count_if("b").alias("boilerplate"), F.count("*").alias("n"), F.md5(joined).alias("h"))
+    lines = F.split(F.concat_ws("\n", "text", F.concat(F.lit("Page "), "doc_id"), F.lit("© 2026 Example, Inc. All rights  reserved. Page 7"), F.lit("42"), F.lit("")), "\n")
+    judged = F.transform(lines, lambda x: F.struct(x.alias("line"), tx.strip_boilerplate(x, _STOCK).alias("s"), tx.is_boilerplate_line(x, _STOCK).alias("b")))
+    kept = read(spark, sf, "documents").select("doc_id", F.sort_array(judged).alias("l"))
+    stock = F.size(F.filter("l", lambda x: x["b"]))
+    return kept.select("doc_id", stock.cast("long").alias("boilerplate"), F.size("l").cast("long").alias("n"), F.md5(F.array_join(F.transform("l", lambda x: x["s"]), "|")).alias("h"))
 
 
 _HY = r"([\p{L}\p{M}\p{N}])(?:\s+-\s*|-\s+)([\p{L}\p{M}\p{N}])"
