@@ -16,7 +16,7 @@ if it holds both.
 Null and empty pages, and pages without content, give empty text. Broken markup is read
 as browsers do where that matters here: open elements are closed by their parents,
 paragraphs and list items by the next one, and what is open at the end of the page is
-complete. Repeated rows give repeated results; extra columns are not read.
+complete, and a tag in which a quote is left open ends at the next bracket. Repeated rows give repeated results; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -44,7 +44,8 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|object)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    r"|<(?P<close_>/?)(?P<name_>[a-z][^\s/>]*)(?P<attrs_>[^>]*)(?:>|\Z)",  # a quote is left open
     re.I | re.S,
 )
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -62,7 +63,7 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 #: Elements that hold the blocks of one part of a page.
 CONTAINERS = frozenset("article main section div".split())
 #: Never judged by class or id.
-TRUSTED = frozenset("html body main article p".split()) | HEADINGS
+TRUSTED = frozenset("html body main article".split()) | HEADINGS
 #: Words of classes, ids and roles that mark what is not the article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs "
@@ -176,10 +177,10 @@ def _read(page: str, spared: set[int]) -> tuple[list[Block], dict[int, _Marked]]
     for m in _TOKEN.finditer(page):
         text(page[at : m.start()])
         at = m.end()
-        name = (m["name"] or "").lower()
+        name = (m["name"] or m["name_"] or "").lower()
         if not name:
             continue
-        if m["close"]:
+        if m["close"] or m["close_"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
                     close_to(k)
@@ -208,7 +209,7 @@ def _read(page: str, spared: set[int]) -> tuple[list[Block], dict[int, _Marked]]
         if parent.dropped and not parent.marked:
             stack.append(_Open(name, name, True))
         else:
-            found = _attributes(m["attrs"])
+            found = _attributes(m["attrs"] or m["attrs_"] or "")
             hard = _dropped(name, found, any(e.name in ("article", "main") for e in stack))
             own = name not in TRUSTED and bool(found) and opened not in spared and _marked(found)
             group = found.get("class", "").split()
