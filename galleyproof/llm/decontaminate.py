@@ -12,8 +12,14 @@ the window, with Myers' bit-parallel algorithm.
 Only windows that could match are embedded: e edits destroy at most 3 e of an item's word
 triples, so a window with fewer of the items' triples than that leaves is passed over.
 This loses nothing, and around a window that agrees, passages up to half an item away are
-confirmed with it. A document is read once, whole; only the items are sent to the tasks,
-in blocks of at most ``ITEMS_PER_BLOCK``.
+confirmed with it. Documents are read whole.
+
+A benchmark of up to ``SMALL_ITEMS`` items and ``SMALL_CHARS`` characters is sent to the
+tasks, and one pass without a shuffle finds all. A larger one stays distributed: tasks get
+two bit tables of bounded size (the items' triples, and their keys), windows that pass both
+are joined with the items by key, and the documents that agree with an item are read a
+second time to confirm it, however many items there are. Bit tables only pass over what
+cannot match, so their size bears on speed alone.
 
 Words are runs of letters and digits of any script, in lower case. Items of one or two words
 allow no edit and are looked up as they are. Items without words, or null, match nothing,
@@ -33,12 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galleyproof.llm.common import materialise, mix64, numbers, text_chunks
+from galleyproof.llm.common import drop_scratch, join_salted, materialise, mix64, numbers, text_chunks
 from galleyproof.llm.words import LETTERS, split_words
 from galleyproof.session import map_arrow
 
 REPEATS, SAMPLED = 24, 2
-ITEMS_PER_BLOCK = 20_000
+SMALL_ITEMS, SMALL_CHARS = 20_000, 20_000_000
+#: A bit table has 16 bits for each entry, but no more than this: 16 MB.
+MOST_BITS = 1 << 27
 _PAD = np.uint64(0x9E3779B97F4A7C15)
 #: Characters beyond ASCII that part words; combining marks do not.
 _APART = re.compile("[^\\w\x00-\x7f\u0300-\u036f]")
@@ -116,9 +124,21 @@ def best_match(item: list[int], text: list[int]) -> tuple[int, int]:
     return best
 
 
+def closest(item: list[int], text: list[int]) -> tuple[int, int, int]:
+    """(least edit distance, start, end) of the first stretch of ``text`` that is closest to ``item``."""
+    distance, end = best_match(item, text)
+    _, length = best_match(item[::-1], text[:end][::-1])
+    return distance, end - length, end
+
+
+def code_points(text: bytes, *at: int) -> list[int]:
+    """Code points before each of the byte offsets."""
+    return [len(text[:x].decode("utf-8", "replace")) for x in at]
+
+
 @dataclass
 class Items:
-    """What tasks need of one block of items."""
+    """What tasks need of a small benchmark."""
 
     ids: list[int]
     words: list[list[int]]
@@ -227,19 +247,17 @@ def _finder(items: Items, repeats: int):
                     edits = items.edits[item]
                     a = max(int(words.bounds[doc]), start - size)
                     b = min(int(words.bounds[doc + 1]), start + 2 * size)
-                    text = words.hash[a:b].tolist()
-                    distance, end = best_match(items.words[item], text)
+                    distance, first, last = closest(items.words[item], words.hash[a:b].tolist())
                     if distance <= edits:
-                        _, length = best_match(items.words[item][::-1], text[:end][::-1])
-                        row = (distance, a + end - length, a + end)
+                        row = (distance, a + first, a + last)
                         found[doc, item] = min(row, found.get((doc, item), row))
             rows = []
             for doc, item_id, a, n in items.short_hits(words.hash, words.doc):
-                start, end = (len(texts[doc][:x].decode("utf-8", "replace")) for x in (int(words.start[a]), int(words.end[a + n - 1])))
+                start, end = code_points(texts[doc], int(words.start[a]), int(words.end[a + n - 1]))
                 rows.append((ids[doc].as_py(), item_id, 0, n, start, end))
             if found or rows:
                 for (doc, item), (distance, a, b) in sorted(found.items()):
-                    start, end = (len(texts[doc][:x].decode("utf-8", "replace")) for x in (int(words.start[a]), int(words.end[b - 1])))
+                    start, end = code_points(texts[doc], int(words.start[a]), int(words.end[b - 1]))
                     rows.append((ids[doc].as_py(), items.ids[item], distance, len(items.words[item]), start, end))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)],
@@ -249,21 +267,169 @@ def _finder(items: Items, repeats: int):
     return find
 
 
+# ---- large benchmarks
+
+
+@dataclass
+class Bits:
+    """A set of 64-bit hashes by their lower bits: what it lacks is not in the set."""
+
+    table: np.ndarray
+    mask: np.uint64
+
+    @classmethod
+    def of(cls, hashes: DataFrame, entries: int) -> Bits:
+        """The set of the column ``hash``, put together by the executors; at most ``MOST_BITS`` reach the driver."""
+        size = min(MOST_BITS, 1 << max(10, int(entries * 16 - 1).bit_length()))
+        bit = F.col("hash").bitwiseAND(F.lit(size - 1))
+        words = hashes.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(hash & {min(63, size - 1)} as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        table = np.zeros(size // 64, np.uint64)
+        table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+        return cls(table, np.uint64(size - 1))
+
+    def held(self, hashes: np.ndarray) -> np.ndarray:
+        word = self.table[((hashes & self.mask) >> np.uint64(6)).astype(np.int64)]
+        return (word >> (hashes & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def code(keys: np.ndarray, size: int, repeat: int) -> np.ndarray:
+    """One number for a key, the size of its items and the repeat."""
+    return mix64(keys ^ numbers(size + 2000, repeat + 1)[-1])
+
+
+def codes(words: np.ndarray, starts: np.ndarray, size: int, repeats: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(repeat, code of each window); items of one or two words have one code."""
+    if size < 3:
+        yield 0, code(grams(words, size)[starts], size, 0)
+        return
+    padded = np.concatenate([words, np.full(size, _PAD)])
+    for r in range(repeats):
+        yield r, code(cgk_keys(padded, starts, size, r), size, r)
+
+
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, texts in text_chunks(batches, "item_id"):
+        words = split_words([plain(t) for t in texts], LETTERS)
+        lists = pa.ListArray.from_arrays(pa.array(words.bounds, pa.int32()), pa.array(words.hash.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([ids, lists], ["item_id", "words"])
+
+
+def _per_form(function):
+    """Rows of (form, hash) with the hashes that ``function`` has for a form's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for form, words in zip(batch["form"], batch["words"], strict=True):
+                found = function(words.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array([form.as_py()] * len(found), pa.string()), pa.array(found.view(np.int64))], ["form", "hash"])
+
+    return run
+
+
+def _windows(sizes: list[tuple[int, int]], known: Bits, keys: Bits, repeats: int):
+    """Rows of (doc, place, repeat, code): windows whose triples and key items may have, by their first word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in text_chunks(batches, "doc"):
+            words = split_words([plain(t) for t in texts], LETTERS)
+            n = len(words.hash)
+            if not n:
+                continue
+            found = triples(words.hash)
+            likely = known.held(found) & (words.doc[: len(found)] == words.doc[2 : len(found) + 2])
+            before = np.concatenate([[0], np.cumsum(likely)])
+            for size, least in sizes:
+                if size < 3:
+                    starts = np.flatnonzero(words.doc[: n - size + 1] == words.doc[size - 1 :])
+                else:
+                    ends = np.minimum(np.arange(n) + size - 2, len(found))
+                    starts = np.flatnonzero(before[ends] - before[np.minimum(np.arange(n), len(found))] >= least)
+                for repeat, got in codes(words.hash, starts, size, repeats) if len(starts) else ():
+                    own = np.flatnonzero(keys.held(got))
+                    place, doc, got = starts[own], words.doc[starts[own]], got[own]
+                    if size < 3 and len(own):  # the first of each document is all that counts
+                        _, first = np.unique(np.stack([doc.astype(np.uint64), got]), axis=1, return_index=True)
+                        place, doc, got = place[first], doc[first], got[first]
+                    for a in range(0, len(place), 100_000):
+                        cut = slice(a, a + 100_000)
+                        yield pa.RecordBatch.from_arrays(
+                            [ids.take(pa.array(doc[cut])), pa.array(place[cut] - words.bounds[doc[cut]]), pa.array(np.full(len(place[cut]), repeat, np.int32)), pa.array(got[cut].view(np.int64))],
+                            ["doc", "place", "repeat", "code"],
+                        )
+
+    return run
+
+
+def _confirm(share: float):
+    """Rows of (doc_id, form, distance, item_words, start, end) for the candidates of a document that are close enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, candidates in zip(batch["doc"], batch["text"], batch["candidates"], strict=True):
+                data = plain((text.as_py() or "").encode())
+                split = split_words([data], LETTERS)
+                words = split.hash.view(np.int64).tolist()
+                rows = []
+                for candidate in candidates:
+                    item = candidate["words"].as_py()
+                    size, near, best = len(item), [], None
+                    for place in (p["place"].as_py() for p in candidate["places"]):
+                        if any(abs(place - p) <= size // 2 for p in near) or best and not best[0]:
+                            continue
+                        near.append(place)
+                        a = max(0, place - size)
+                        distance, first, last = closest(item, words[a : place + 2 * size])
+                        if distance <= edits_allowed(size, share):
+                            row = (distance, a + first, a + last)
+                            best = min(row, best or row)
+                    if best:
+                        start, end = code_points(data, int(split.start[best[1]]), int(split.end[best[2] - 1]))
+                        rows.append((doc["doc_id"].as_py(), candidate["form"].as_py(), best[0], size, start, end))
+                if rows:
+                    columns = zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["doc_id", "form", "distance", "item_words", "start", "end"])
+
+    return run
+
+
+def _large(read: DataFrame, benchmark: DataFrame, share: float, repeats: int) -> DataFrame:
+    """Matches of a benchmark of any size, joined by key."""
+    words = map_arrow(benchmark.where("item_id is not null").select("item_id", "text"), _item_words, "item_id long, words array<long>").where("size(words) > 0")
+    # items with equal words are one form, named by a digest
+    items = materialise(words.withColumn("form", F.sha2(F.concat_ws(",", F.col("words").cast("array<string>")), 256)), "leak-items")
+    forms = items.groupBy("form").agg(F.min("words").alias("words"))
+    sizes = [(r["n"], r["forms"]) for r in forms.groupBy(F.size("words").alias("n")).agg(F.count("*").alias("forms")).collect()]
+    known = Bits.of(map_arrow(forms, _per_form(triples), "form string, hash long"), sum(n * count for n, count in sizes))
+
+    def own_codes(words: np.ndarray) -> np.ndarray:
+        return np.concatenate([got for _, got in codes(words, np.zeros(1, np.int64), len(words), repeats)])
+
+    item_keys = materialise(map_arrow(forms, _per_form(own_codes), "form string, hash long").withColumnRenamed("hash", "code"), "leak-keys")
+    keys = Bits.of(item_keys.withColumnRenamed("code", "hash"), repeats * sum(count for _, count in sizes))
+    wanted = sorted((n, n - 2 - 3 * edits_allowed(n, share)) for n, _ in sizes)
+    docs = read.select(F.struct("doc_id", F.xxhash64("text").alias("digest")).alias("doc"), "text")
+    places = materialise(map_arrow(docs, _windows(wanted, known, keys, repeats), "doc struct<doc_id:long,digest:long>, place long, repeat int, code long"), "leak-windows")
+    agree = join_salted(places, item_keys, "code", "doc").groupBy("doc", "form").agg(F.sort_array(F.collect_set(F.struct("repeat", "place"))).alias("places"))
+    agree = materialise(agree, "leak-candidates")
+    own = join_salted(agree, forms, "form", "doc").groupBy("doc").agg(F.collect_list(F.struct("form", "words", "places")).alias("candidates"))
+    hits = materialise(map_arrow(docs.join(own, "doc"), _confirm(share), f"doc_id long, form string, {_MATCHES.split('item_id long, ')[1]}"), "leak-hits")
+    drop_scratch(item_keys, places, agree)
+    return join_salted(hits, items.select("form", "item_id").distinct(), "form", "doc_id").select("doc_id", "item_id", "distance", "item_words", "start", "end")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.25, repeats: int = REPEATS) -> DataFrame:
     """(doc_id, item_id, distance, item_words, start, end): items of ``benchmark`` (item_id, text) in ``docs`` (doc_id, text).
 
     One row for each document and item, with the closest passage (the first of those) as
     code point offsets. share: word edits allowed for each word of an item.
     """
-    spark = docs.sparkSession
     read = docs.where("doc_id is not null").select("doc_id", "text")
-    blocks = max(1, -(-benchmark.count() // ITEMS_PER_BLOCK))
-    out = spark.createDataFrame([], _MATCHES)
-    for k in range(blocks):
-        block = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else benchmark
-        items = Items.of([(r["item_id"], r["text"]) for r in block.select("item_id", "text").collect()], share, repeats)
-        if items.ids or items.short:
-            out = out.unionAll(map_arrow(read, _finder(items, repeats), _MATCHES))
+    size = benchmark.agg(F.count("*").alias("items"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    if size["items"] <= SMALL_ITEMS and size["chars"] <= SMALL_CHARS:
+        items = Items.of([(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").collect()], share, repeats)
+        out = map_arrow(read, _finder(items, repeats), _MATCHES)
+    else:
+        out = _large(read, benchmark, share, repeats)
     best = F.min(F.struct("distance", "start", "end", "item_words"))
     return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.distance", "b.item_words", "b.start", "b.end")
 
