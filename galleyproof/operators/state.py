@@ -103,6 +103,81 @@ def create_users(users: DataFrame, wanted: DataFrame) -> DataFrame:
     return clean.select("email", "username", F.lit("user").alias("role"), F.lit("active").alias("status"))
 
 
+def create_invites(wanted: DataFrame, hours: int = INVITE_HOURS) -> DataFrame:
+    """Pending invites for ``wanted`` (email, token, created_by, at); only the token's hash is kept. All invite plain users."""
+    address = F.coalesce(F.lower(F.trim("email")), F.lit(""))
+    return wanted.select(address.alias("email"), F.lit("user").alias("role"), F.sha2("token", 256).alias("token_hash"), F.lit("pending").alias("status"), "created_by", F.col("at").alias("created_at"), expires(F.col("at"), hours).alias("expires_at"))
+
+
+def _first_use(uses: DataFrame, links: DataFrame, kind: str) -> DataFrame:
+    """Valid ``links`` (id, token_hash, status, expires_at) with the first of their ``uses`` (token, at), as the column ``use``.
+
+    A link that is past its end at the first use is past it at any later one, and a used one is spent.
+    """
+    first = uses.withColumn("token_hash", F.sha2("token", 256)).groupBy("token_hash").agg(F.min_by(F.struct(*uses.columns), "at").alias("use"))
+    return links.join(first, "token_hash").where(invalid_reason(kind, F.col("status"), F.col("expires_at"), F.col("use.at")) == "")
+
+
+def _marked(links: DataFrame, used: DataFrame) -> DataFrame:
+    """``links`` in which those of ``used`` (id, used_at) have been used."""
+    both = links.drop("used_at").join(used, "id", "left")
+    return both.withColumn("status", F.when(F.col("used_at").isNotNull(), "used").otherwise(F.col("status")))
+
+
+def consume_invites(invites: DataFrame, uses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New users, and ``invites`` as they are after ``uses`` (token, username, password_hash, at)."""
+    used = _first_use(uses, invites, "invite")
+    users = used.select("email", F.lower(F.trim("use.username")).alias("username"), F.col("use.password_hash").alias("password_hash"), "role", F.lit("active").alias("status"), F.col("use.at").alias("created_at"), "created_by")
+    return users, _marked(invites, used.select("id", F.col("use.at").alias("used_at")))
+
+
+def request_resets(users: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requested resets for ``requests`` (login, at, ip) of active accounts by name or address, in any case; others give no row.
+
+    Where one account's name is another's address, the account with the lesser id is meant.
+    """
+    active = users.where("status = 'active'")
+    known = active.select("id", "username", "email", F.explode(F.array_distinct(F.array(F.lower("username"), F.lower("email")))).alias("_login")).where("_login is not null")
+    one = known.groupBy("_login").agg(F.min_by(F.struct("id", "username", "email"), "id").alias("u"))
+    wanted = requests.withColumn("_login", F.lower(F.trim("login")))
+    return wanted.join(one, "_login").select(F.col("u.id").alias("user_id"), F.col("u.username").alias("username_snapshot"), F.col("u.email").alias("email_snapshot"), F.lit("requested").alias("status"), F.col("at").alias("requested_at"), F.coalesce("ip", F.lit("")).alias("request_ip"))
+
+
+def generate_links(resets: DataFrame, wanted: DataFrame, hours: int = RESET_HOURS) -> DataFrame:
+    """``resets`` after links for ``wanted`` (id, token, admin_id, at) were made, where the reset is still open; the last link counts."""
+    last = wanted.groupBy("id").agg(F.max_by(F.struct("token", "admin_id", "at"), "at").alias("_link"))
+    both = resets.join(last, "id", "left")
+    made = F.col("_link").isNotNull() & F.col("status").isin(*ALLOWED["link_generated"])
+    new = {"token_hash": F.sha2("_link.token", 256), "link_generated_at": F.col("_link.at"), "expires_at": expires(F.col("_link.at"), hours), "generated_by": F.col("_link.admin_id"), "status": F.lit("link_generated")}
+    old = {c: F.col(c) if c in resets.columns else F.lit(None) for c in new}
+    return both.withColumns({c: F.when(made, v).otherwise(old[c]) for c, v in new.items()}).drop("_link")
+
+
+def consume_resets(resets: DataFrame, uses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Changes for ``update_users`` (id, password_hash), the last of each account, and ``resets`` as they are after ``uses`` (token, password_hash, at)."""
+    used = _first_use(uses, resets, "reset")
+    changes = used.groupBy(F.col("user_id").alias("id")).agg(F.max_by("use.password_hash", F.struct("use.at", used["id"])).alias("password_hash"))
+    return changes, _marked(resets, used.select("id", F.col("use.at").alias("used_at")))
+
+
+def update_users(users: DataFrame, changes: DataFrame) -> DataFrame:
+    """``users`` after ``changes`` (id and any of status, role, password_hash, last_login_at; one row for an account); null changes nothing.
+
+    Any status but active disables, and any role but admin is user.
+    """
+    fields = [c for c in ("status", "role", "password_hash", "last_login_at") if c in changes.columns]
+    both = users.join(changes.select("id", F.struct(*fields).alias("_new")), "id", "left")
+    known = {"status": ("active", "disabled"), "role": ("admin", "user")}
+
+    def after(c: str) -> Column:
+        new, old = F.col(f"_new.{c}"), F.col(c) if c in users.columns else F.lit(None)
+        if c in known:
+            new = F.when(new == known[c][0], new).when(new.isNotNull(), known[c][1])
+        return F.coalesce(new, old)
+
+    return both.withColumns({c: after(c) for c in fields}).drop("_new")
+
+
 def pair_state(events: DataFrame) -> DataFrame:
     """File pairs from ``events`` (pair_id, status, ts, event_id): status, message, first start, last end."""
     last = latest_status(events, "pair_id")

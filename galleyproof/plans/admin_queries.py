@@ -83,6 +83,62 @@ def reset_cancel(spark, sf):
     return resets.select("id", state.transition(F.col("status"), "cancelled").alias("status"))
 
 
+_AT = "timestamp_ntz '2024-01-15 00:00:00'"
+
+
+@query("invites_create", f"select 'c' || cast(c_custkey as varchar) || '@example.org' as email, 'user' as role, sha256(c_name) as token_hash, 'pending' as status, c_custkey as created_by, {_NOW} + interval 72 hours as expires_at from customer")
+def invites_create(spark, sf):
+    wanted = read(spark, sf, "customer").selectExpr("concat(' C', c_custkey, '@Example.org ') as email", "c_name as token", "c_custkey as created_by", f"{_AT} as at")
+    return state.create_invites(wanted).select("email", "role", "token_hash", "status", "created_by", "expires_at")
+
+
+def _links(table):
+    """Links whose token is their id, and two uses of each: the second comes too late."""
+    links = table.withColumn("token_hash", F.sha2(F.col("id").cast("string"), 256))
+    use = "cast(id as string) as token", "concat(' New', id) as username"
+    return links, links.selectExpr(*use, "'first' as password_hash", f"{_AT} as at").unionAll(links.selectExpr(*use, "'second' as password_hash", f"{_AT} + interval 1 hour as at"))
+
+
+@query("invites_consume", with_views(f"select id, case when status = 'pending' and expires_at >= {_NOW} then 'used' else status end as status, case when status = 'pending' and expires_at >= {_NOW} then 'new' || cast(id as varchar) end as username, case when status = 'pending' and expires_at >= {_NOW} then 'first' end as password_hash from fx_invites", "fx_invites"))
+def invites_consume(spark, sf):
+    invites, uses = _links(fx(spark, sf, "fx_invites")[0])
+    invites = invites.selectExpr("*", "cast(id as string) as email", "'user' as role")
+    users, after = state.consume_invites(invites, uses)
+    return after.join(users.selectExpr("cast(email as long) as id", "username", "password_hash"), "id", "left").select("id", "status", "username", "password_hash")
+
+
+@query("resets_request", with_views("select id as user_id, username as username_snapshot, email as email_snapshot, 'requested' as status, '' as request_ip from fx_users where status = 'active'", "fx_users"))
+def resets_request(spark, sf):
+    (users,) = fx(spark, sf, "fx_users")
+    requests = users.selectExpr("if(id % 2 = 0, upper(username), concat(' ', email, ' ')) as login", f"{_AT} as at", "cast(null as string) as ip").unionAll(spark.sql(f"select 'no such account', {_AT}, 'ip'"))
+    return state.request_resets(users, requests).drop("requested_at")
+
+
+@query("resets_links", with_views(f"select id, case when status in ('requested', 'link_generated') and id % 3 > 0 then 'link_generated' else status end as status, case when status in ('requested', 'link_generated') and id % 3 > 0 then {_NOW} + interval 2 hours else expires_at end as expires_at, case when status in ('requested', 'link_generated') and id % 3 > 0 then sha256(cast(id as varchar)) end as token_hash from fx_resets", "fx_resets"))
+def resets_links(spark, sf):
+    (resets,) = fx(spark, sf, "fx_resets")
+    wanted = resets.where("id % 3 > 0").selectExpr("id", "cast(id as string) as token", "1L as admin_id", f"{_AT} as at")
+    return state.generate_links(resets, wanted).select("id", "status", "expires_at", "token_hash")
+
+
+_OPEN = f"status = 'link_generated' and expires_at >= {_NOW}"
+
+
+@query("resets_consume", with_views(f"select u.id, case when u.id in (select user_id from fx_resets where {_OPEN}) then 'first' else 'old' end as password_hash, coalesce(n, 0) as used from fx_users u left join (select user_id, count(*) as n from fx_resets where {_OPEN} or status = 'used' group by user_id) r on r.user_id = u.id", "fx_users", "fx_resets"))
+def resets_consume(spark, sf):
+    users, resets = fx(spark, sf, "fx_users", "fx_resets")
+    changes, after = state.consume_resets(*_links(resets))
+    used = after.where("status = 'used'").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("used"))
+    return state.update_users(users.withColumn("password_hash", F.lit("old")), changes).join(used, "id", "left").select("id", "password_hash", F.coalesce("used", F.lit(0)).alias("used"))
+
+
+@query("users_update", with_views(f"select id, case id % 4 when 0 then 'active' when 1 then 'disabled' else status end as status, case id % 5 when 0 then 'admin' when 1 then 'user' else role end as role, case when id % 2 = 0 then {_NOW} end as last_login_at from fx_users", "fx_users"))
+def users_update(spark, sf):
+    (users,) = fx(spark, sf, "fx_users")
+    changes = users.selectExpr("id", "case id % 4 when 0 then 'active' when 1 then 'gone' end as status", "case id % 5 when 0 then 'admin' when 1 then 'owner' end as role", f"if(id % 2 = 0, {_AT}, null) as last_login_at")
+    return state.update_users(users, changes).select("id", "status", "role", "last_login_at")
+
+
 @query("audit_actor", with_views("select event_id, coalesce(username, '') as actor from fx_audit a left join fx_users u on u.id = a.user_id", "fx_audit", "fx_users"))
 def audit_actor(spark, sf):
     return state.with_actor(*fx(spark, sf, "fx_audit", "fx_users")).select("event_id", "actor")

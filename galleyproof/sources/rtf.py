@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from galleyproof.functions import text as tx
 from galleyproof.session import map_arrow
 
-#: Language ids whose text is in the Arabic code page (Arabic's ids are 1 plus multiples of 1024; then Urdu and Persian).
-RTL_LANGUAGE_IDS = (*(str(1024 * k + 1) for k in range(1, 17)), "1056", "1065")
+#: Language ids whose text is in the Arabic code page (Arabic by country, then Urdu and Persian).
+RTL_LANGUAGE_IDS = ("1025", "2049", "3073", "4097", "5121", "6145", "7169", "8193", "9217", "10241", "11265", "12289", "13313", "14337", "15361", "16385", "1056", "1065")
 _RTL_LANGUAGE = rf"(?i)\\lang(?:fe)?(?:{'|'.join(RTL_LANGUAGE_IDS)})\b"
 _RTL_NAME = r"(?i)[_ ](?:AR|FA|UR)\.rtf$"
 

@@ -43,8 +43,27 @@ def test_stream_counts(spark, tmp_path):
     folder = str(tmp_path / "events")
     rows = spark.createDataFrame([(1, "done"), (1, "done"), (2, "error")], "run_id long, status string")
     rows.write.parquet(folder)
-    got = counts.run_once(spark, folder, rows.schema, "status_counts", str(tmp_path / "checkpoint"))
-    assert sorted(map(tuple, got.collect())) == [(1, "done", 2), (2, "error", 1)]
+    once = lambda: sorted(map(tuple, counts.run_once(spark, folder, rows.schema, str(tmp_path / "counts"), str(tmp_path / "checkpoint")).collect()))
+    assert once() == [(1, "done", 2), (2, "error", 1)]
+    rows.where("run_id = 1").write.mode("append").parquet(folder)
+    assert once() == [(1, "done", 4), (2, "error", 1)] == once()
+
+
+def test_stream_sessions(spark, tmp_path):
+    from galleyproof.operators import rollup
+
+    folder = str(tmp_path / "events")
+    moments = [(1, 0), (1, 1800), (1, 3601), (1, 3602), (2, 5), (2, 9000)]
+    rows = spark.createDataFrame([(k, u, 1_700_000_000 + s) for k, (u, s) in enumerate(moments)], "event_id long, user_id long, at long").select("event_id", "user_id", F.timestamp_seconds("at").alias("ts"))
+    rows.coalesce(1).write.parquet(folder)
+    # a last event moves the watermark past all sessions but its own
+    last = rows.limit(1).select(F.lit(99).cast("long").alias("event_id"), F.lit(9).cast("long").alias("user_id"), F.timestamp_seconds(F.lit(1_700_100_000)).alias("ts"))
+    last.coalesce(1).write.mode("append").parquet(folder)
+    stream = counts.stream_sessions(spark.readStream.schema(rows.schema).parquet(folder))
+    out = str(tmp_path / "out")
+    stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    batch = rollup.idle_sessions(rows).select("user_id", "first_second", "last_second", "n_events")
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(map(tuple, batch.collect()))
 
 
 def test_uploads_in_batches_and_as_they_come(spark, tmp_path):
