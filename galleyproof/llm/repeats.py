@@ -12,11 +12,15 @@ those sentences.
 Null and empty texts have no units. A document that repeats itself keeps the first
 occurrence. Ties of equal doc_ids cannot be ranked and keep both copies. Rows without
 doc_id are left out; extra columns are not read.
+
+Units leave a Python worker in blocks of ``BLOCK``, also within a document. It holds one
+document's text at a time beside the batch, and about 100 bytes for each distinct unit of it.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +33,8 @@ from galleyproof.llm.common import join_groups, materialise, text_chunks
 from galleyproof.session import map_arrow
 
 _UNIT = re.compile(r"[^\s.!?。！？][^.!?。！？\n]*[.!?。！？]*")
+#: Units handed over at once, so that a worker's memory does not grow with their number.
+BLOCK = 20_000
 _UNITS = "h1 long, h2 long, doc_id long, unit int, start int, end int, words int, again boolean"
 
 
@@ -41,21 +47,28 @@ def units(text: str) -> Iterator[tuple[int, int, str]]:
 
 def _hash_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh3_128_digest
+    digests, rows, again = bytearray(), array("q"), bytearray()
     for ids, texts in text_chunks(batches):
-        digests, rows, again = [], [], []
         for doc_id, data in zip(ids.to_pylist(), texts, strict=True):
             seen = set()
             for i, (start, end, norm) in enumerate(units(data.decode("utf-8", "replace"))):
                 key = digest(norm)
-                digests.append(key)
-                rows.append((doc_id, i, start, end, norm.count(" ") + 1))
+                digests += key
+                rows.extend((doc_id, i, start, end, norm.count(" ") + 1))
                 again.append(key in seen)
                 seen.add(key)
-        if rows:
-            hashes = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            table = np.array(rows, np.int64)
-            columns = [hashes[:, 0], hashes[:, 1], table[:, 0], *(table[:, k].astype(np.int32) for k in (1, 2, 3, 4))]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(again, pa.bool_())], ["h1", "h2", "doc_id", "unit", "start", "end", "words", "again"])
+                if len(again) == BLOCK:
+                    yield _block(digests, rows, again)
+                    digests, rows, again = bytearray(), array("q"), bytearray()
+    if again:
+        yield _block(digests, rows, again)
+
+
+def _block(digests: bytearray, rows: array, again: bytearray) -> pa.RecordBatch:
+    hashes = np.frombuffer(digests, "<i8").reshape(-1, 2)
+    table = np.frombuffer(rows, np.int64).reshape(-1, 5)
+    columns = [hashes[:, 0], hashes[:, 1], table[:, 0], *(table[:, k].astype(np.int32) for k in (1, 2, 3, 4)), np.frombuffer(again, bool)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["h1", "h2", "doc_id", "unit", "start", "end", "words", "again"])
 
 
 def repeated_spans(docs: DataFrame, min_words: int = 1) -> DataFrame:
