@@ -68,6 +68,14 @@ def norm_compare(c: Column) -> Column:
     return F.lower(collapse(F.translate(c, source, QUOTES_TO + "-" * len(DASHES) + ARABIC_TO)))
 
 
+def norm_words(words: Column) -> Column:
+    """``norm_compare`` of each of ``words``, which hold no white space, folded as one text."""
+    source = QUOTES_FROM + DASHES + ARABIC_FROM + BIDI + ZERO_WIDTH
+    bare = F.regexp_replace(F.array_join(words, " "), ARABIC_MARKS, "")
+    folded = F.lower(F.translate(bare, source, QUOTES_TO + "-" * len(DASHES) + ARABIC_TO))
+    return F.when(F.size(words) > 0, F.split(folded, " ")).otherwise(F.expr("cast(array() as array<string>)"))
+
+
 def norm_text(c: Column) -> Column:
     return F.regexp_replace(norm_compare(c), r"\.+$", "")
 
