@@ -7,11 +7,11 @@ nothing do not drown the few that do. Examples with equal vectors are one entry
 weight of its members in each class. Entries lie in blocks. Postings of the terms that few
 entries have are lists; those of the others are tables, apart for terms of large and small
 weights. A query sums its lists and its heavy terms; what its light terms can add is bounded
-by their largest weights in each block and by the norms over them. Entries that could reach
-the k best so far are then scored. Sums of less than double precision only choose: whatever
-comes near the k best is computed anew in double precision, so the k nearest entries by
-cosine are exact. The votes of the nearest are weighted by distance and by how many
-labelled rows a sampled example stands for, which keeps scores calibrated.
+by their largest weights in each block and by the norms over groups of them. Entries that
+could reach the k best so far are then scored. Sums of less than double precision only
+choose: whatever comes near the k best is computed anew in double precision, so the k
+nearest entries by cosine are exact. The votes of the nearest are weighted by distance and
+by how many labelled rows a sampled example stands for, which keeps scores calibrated.
 
 The examples are a bounded sample: of each class, the ``per_class`` training rows with the
 smallest hash of doc_id, each with its own weight whatever it shares with others. The
@@ -25,6 +25,7 @@ Extra columns are not read.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,13 +40,15 @@ from galleyproof.llm.common import materialise, text_chunks
 from galleyproof.session import map_arrow
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: The lower-case letter of each Latin-1 character, or a space.
+_LETTERS = "".join(chr(i).lower() if _WORD.match(chr(i)) else " " for i in range(256)).encode("latin-1")
 #: Beginnings of a word of these many letters are terms beside the word itself.
 BEGINNINGS = (4, 5, 6)
 BLOCK, NEIGHBOURS = 32, 15
 #: A term of this G statistic has a quarter of the weight of one that tells the classes apart beyond doubt.
 HALF_G = 16.0
-#: Terms whose postings are columns of tables, the heavy ones of them, and texts searched for together.
-COMMON, HEAVY, TOGETHER = 4096, 1024, 32
+#: Terms whose postings are columns of tables, the heavy ones of them, groups of the light ones, and texts searched for together.
+COMMON, HEAVY, GROUPS, TOGETHER = 4096, 1024, 64, 128
 #: How far sums of less than double precision may be off.
 ROUNDING = 1e-5
 _NEAREST = "doc_id long, score double, evidence array<long>"
@@ -57,7 +60,10 @@ def terms_of(word: str) -> list[str]:
 
 
 def words_of(text: str) -> Counter:
-    return Counter(_WORD.findall(text.lower()))
+    try:
+        return Counter(text.encode("latin-1").translate(_LETTERS).decode("latin-1").split())
+    except UnicodeEncodeError:
+        return Counter(_WORD.findall(text.lower()))
 
 
 def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,46 +98,59 @@ class Vectors:
     index: dict[str, int]
     idf: np.ndarray  #: with the evidence of each term
     slots: dict[str, int] = field(default_factory=dict)  #: words met so far; those in slot 0 have no terms
-    bounds: np.ndarray = field(default_factory=lambda: np.zeros(2, np.int64))  #: bounds of the terms of each slot
-    of_slot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    bounds: array = field(default_factory=lambda: array("q", [0, 0]))  #: bounds of the terms of each slot
+    of_slot: array = field(default_factory=lambda: array("q"))
 
     def forget(self) -> None:
-        self.slots, self.bounds, self.of_slot = {}, np.zeros(2, np.int64), np.zeros(0, np.int64)
+        self.slots, self.bounds, self.of_slot = {}, array("q", [0, 0]), array("q")
+
+    def _meet(self, word: str) -> int:
+        """The slot of a word not met before. The vocabulary has all beginnings of its words, so where one is missing there is nothing longer."""
+        of, known, before = self.index.get, self.of_slot, len(self.of_slot)
+        for n in BEGINNINGS:
+            if len(word) <= n:
+                term = of(word)
+                break
+            if (term := of(word[:n] + "*")) is None:
+                break
+            known.append(term)
+        else:
+            term = of(word)
+        if term is not None:
+            known.append(term)
+        slot = 0
+        if len(known) > before:
+            slot = len(self.bounds) - 1
+            self.bounds.append(len(known))
+        self.slots[word] = slot
+        return slot
 
     def counts_of_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, occurrences), by text and term."""
         if len(self.slots) > 300_000:
             self.forget()
-        fresh, new = [], len(self.bounds) - 1
-        words: list[int | None] = []
+        words: list[int] = []
         times: list[int] = []
         sizes = []
         for text in texts:
             found = words_of(text)
             own = list(map(self.slots.get, found))
             if None in own:
-                for k, word in enumerate(found):
-                    if own[k] is None:
-                        own[k] = 0
-                        if len(word) <= BEGINNINGS[0] or word[: BEGINNINGS[0]] + "*" in self.index:  # else it has no term
-                            ids = [self.index[t] for t in terms_of(word) if t in self.index]
-                            if ids:
-                                own[k], new = new, new + 1
-                                fresh.append(ids)
-                        self.slots[word] = own[k]
+                own = [self._meet(word) if slot is None else slot for word, slot in zip(found, own, strict=True)]
             sizes.append(len(own))
             words += own
             times += found.values()
-        if fresh:
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(x) for x in fresh])])
-            self.of_slot = np.concatenate([self.of_slot, *map(np.array, fresh)])
-        slot = np.array(words, np.int64)
-        each = self.bounds[slot + 1] - self.bounds[slot]
-        term = self.of_slot[_ranges(self.bounds[slot], each)]
+        slot, bounds = np.array(words, np.int64), np.asarray(self.bounds)
+        each = bounds[slot + 1] - bounds[slot]
+        term = np.asarray(self.of_slot)[_ranges(bounds[slot], each)]
         text = np.repeat(np.repeat(np.arange(len(texts)), sizes), each)
-        key, place = np.unique(text * len(self.idf) + term, return_inverse=True)
-        total = np.bincount(place, weights=np.repeat(np.array(times, np.int64), each)).astype(np.int64)
-        return key // max(1, len(self.idf)), key % max(1, len(self.idf)), total
+        # text, term and occurrences are sorted as one number, for which 63 bits suffice (7, 25 and 31 at most)
+        low = max(times, default=1).bit_length()
+        key = np.sort((text * len(self.idf) + term << low) + np.repeat(np.array(times, np.int64), each))
+        owner = key >> low
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        total = np.add.reduceat(key & (1 << low) - 1, first) if len(first) else first
+        return owner[first] // max(1, len(self.idf)), owner[first] % max(1, len(self.idf)), total
 
     def counts(self, text: str) -> dict[int, int]:
         """Occurrences of each term."""
@@ -159,13 +178,20 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
+def _group_norms(table: np.ndarray) -> np.ndarray:
+    """The norms of each row over each of ``GROUPS`` groups, into which the columns are dealt in turn."""
+    parted = table.reshape(len(table), -1, GROUPS)
+    return np.sqrt(np.einsum("ijk,ijk->ik", parted, parted))
+
+
 @dataclass
 class BlockMaxIndex:
     """Entries by descending main term in blocks, and their postings.
 
     The ``COMMON`` terms that most entries have are columns of tables: the ``HEAVY`` ones of
-    the largest factors apart, and the light ones with their largest weight in each block and
-    the norm of each entry over them. The postings of all other terms are lists.
+    the largest sums of squared weights apart, and the light ones with their largest weight in
+    each block and the norms of each entry over ``GROUPS`` groups of them. The postings of all
+    other terms are lists.
     """
 
     factors: np.ndarray  #: of the terms
@@ -206,24 +232,26 @@ class BlockMaxIndex:
         """Move the postings into tables and lists."""
         owner = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(self.bounds))
         often = np.argsort(-np.bincount(self.term, minlength=self.terms), kind="stable")[:COMMON]
-        often = often[np.argsort(-self.factors[often], kind="stable")]
+        squares = np.bincount(self.term, weights=self.weight.astype(float) ** 2, minlength=self.terms)
+        often = often[np.argsort(-squares[often], kind="stable")]
         #: the column of each term, those of the heavy ones first, or -1
         self.place = np.full(self.terms, -1)
         self.place[often] = np.arange(len(often))
         column = self.place[self.term]
         rare = np.flatnonzero(column < 0)
         rare = rare[np.argsort(self.term[rare], kind="stable")]
-        #: postings of the terms without a column: their bounds by term, entries and weights
-        self.lists = np.searchsorted(self.term[rare], np.arange(self.terms + 1)), owner[rare], self.weight[rare]
+        #: postings of the terms without a column: their bounds by term, and entry and weight in one number, as they are read at random
+        self.lists = np.searchsorted(self.term[rare], np.arange(self.terms + 1)), np.stack([owner[rare], self.weight[rare].view(np.int32)], axis=1).view(np.int64)[:, 0]
         #: entries x terms
         self.heavy, self.light = (np.zeros((self.blocks * BLOCK, n), np.float32) for n in (HEAVY, COMMON - HEAVY))
         for table, first in ((self.heavy, 0), (self.light, HEAVY)):
             own = np.flatnonzero((column >= first) & (column < first + table.shape[1]))
             table[owner[own], column[own] - first] = self.weight[own]
-        self.light_norm = np.sqrt(np.einsum("ij,ij->i", self.light, self.light))
+        #: entries x groups, into which the light terms are dealt in turn
+        self.light_norms = _group_norms(self.light)
         #: blocks x light terms
         self.maxima = self.light.reshape(self.blocks, BLOCK, -1).max(axis=1)
-        self.term, self.weight = self.term[:0], self.weight[:0]
+        self.term, self.weight = self.term[:0].copy(), self.weight[:0].copy()
         self.ready = True
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
@@ -241,35 +269,33 @@ class BlockMaxIndex:
         often = column >= 0
         asked[query[often], column[often]] = weights[often]
         heavy, light = asked[:, :HEAVY], asked[:, HEAVY:]
-        starts, entry, by_term = self.lists
+        sums = heavy @ self.heavy.T
+        # what light terms can add to a block and to an entry
+        to_block, to_entry = light @ self.maxima.T, _group_norms(light) @ self.light_norms.T
+        starts, postings = self.lists
         rare = np.flatnonzero(~often)
         begins = starts[ids[rare]]
         sizes = starts[ids[rare] + 1] - begins
-        at = _ranges(begins, sizes)
-        place = np.repeat(query[rare] * wide, sizes)
-        place += entry[at]
-        part = np.repeat(weights[rare], sizes)
-        part *= by_term[at]
-        listed = np.bincount(place, weights=part, minlength=n * wide).reshape(n, wide)
-        known = heavy @ self.heavy.T
-        known += listed
+        parts = np.searchsorted(query[rare], np.arange(n + 1))
         kth = min(k, wide)
-        least = np.partition(known, -kth, axis=1)[:, -kth]
-        most = np.repeat(light @ self.maxima.T, BLOCK, axis=1)  # what light terms can add
-        np.minimum(most, np.sqrt((light * light).sum(axis=1))[:, None] * self.light_norm, out=most)
-        most += known
-        near = most + ROUNDING >= np.maximum(least, ROUNDING)[:, None]
-        near[:, self.size :] = False
         out = []
         for q in range(n):
-            some, terms = np.flatnonzero(near[q]), np.flatnonzero(light[q])
+            own = slice(parts[q], parts[q + 1])
+            found = postings[_ranges(begins[own], sizes[own])].view(np.int32)
+            listed = np.bincount(found[::2], weights=np.repeat(weights[rare[own]], sizes[own]) * found[1::2].view(np.float32), minlength=wide)
+            known = sums[q]
+            known += listed
+            least = max(np.partition(known, -kth)[-kth], ROUNDING) - ROUNDING
+            most = np.minimum(np.repeat(to_block[q], BLOCK), to_entry[q])
+            most += known
+            some, terms = np.flatnonzero(most[: self.size] >= least), np.flatnonzero(light[q])
             added = self.light.take(some[:, None] * self.light.shape[1] + terms)
             if len(some) > k:
-                sums = known[q, some] + added @ light[q, terms]
-                best = sums + ROUNDING >= np.partition(sums, -k)[-k]
+                total = known[some] + added @ light[q, terms]
+                best = total + ROUNDING >= np.partition(total, -k)[-k]
                 some, added = some[best], added[best]
             # in double precision
-            exact = np.round(listed[q, some] + self.heavy[some].astype(float) @ heavy[q].astype(float) + added.astype(float) @ light[q, terms].astype(float), 9)
+            exact = np.round(listed[some] + self.heavy[some].astype(float) @ heavy[q].astype(float) + added.astype(float) @ light[q, terms].astype(float), 9)
             best = np.lexsort((self.example[some], -exact))[:k]
             out.append([(float(exact[e]), int(some[e])) for e in best if exact[e] > 0])
         return out
@@ -304,10 +330,12 @@ class Classifier:
         return [known[key] for key in keys]
 
     def _voted(self, near: list[tuple[float, int]]) -> tuple[float, list[int]]:
-        votes = np.array([0.5 * (1 - self.prior), 0.5 * self.prior])
+        clean, marked = 0.5 * (1 - self.prior), 0.5 * self.prior
         for cosine, entry in near:
-            votes = votes + self.index.votes[entry] * cosine**3 / (0.05 + 1 - min(1.0, cosine))
-        return float(votes[1] / votes.sum()), [int(self.index.example[e]) for _, e in near[:3]]
+            v0, v1 = self.index.votes[entry].tolist()
+            clean += v0 * cosine**3 / (0.05 + 1 - min(1.0, cosine))
+            marked += v1 * cosine**3 / (0.05 + 1 - min(1.0, cosine))
+        return marked / (clean + marked), [int(self.index.example[e]) for _, e in near[:3]]
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Column | None = None, per_class: int = 3000) -> Classifier:
